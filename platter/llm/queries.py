@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, linkgraph, mixing, rollup, rules
+from . import hilbert, linkgraph, mixing, ngram_join, rollup, rules
 from .common import new_folder, table
 
 
@@ -51,4 +51,8 @@ def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_hilbert_shards, op6_link_graph, op7_token_rollup, op8_rule_ledger)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.digest(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_hilbert_shards, op6_link_graph, op7_token_rollup, op8_rule_ledger, op10_ngram_jaccard)}

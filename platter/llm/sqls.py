@@ -55,6 +55,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+OP10 = f"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, '{linkgraph.UPPER}', '{linkgraph.LOWER}'), '{WORDS}'), []) AS ws FROM documents),
+s AS (
+  SELECT DISTINCT r, array_to_string(ws[i:i + 4], ' ') AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
+  UNION ALL SELECT r, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+sets AS (SELECT r, n, md5(string_agg(k, chr(10) ORDER BY k)) AS h FROM s JOIN n USING (r) GROUP BY r, n),
+rep AS (SELECT h, min(r) AS r FROM sets GROUP BY h),
+rs AS (SELECT s.r, s.k FROM s JOIN rep USING (r)),
+shared AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM rs a JOIN rs b ON a.k = b.k AND a.r < b.r GROUP BY a.r, b.r),
+link AS (SELECT x, y FROM shared JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+both_ AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach(a, b) AS (SELECT r, r FROM rep UNION SELECT reach.a, both_.y FROM reach JOIN both_ ON both_.x = reach.b),
+node AS (SELECT sets.r, rep.r AS rep FROM sets JOIN rep USING (h)),
+least AS (SELECT reach.a AS rep, min(w.doc_id) AS least FROM reach JOIN node ON node.rep = reach.b JOIN w ON w.r = node.r GROUP BY reach.a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least.least, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (r) LEFT JOIN node USING (r) LEFT JOIN least ON least.rep = node.rep
+"""
+
+
 def op6() -> str:
     """The propagation unrolled, a table of ranks for each round."""
     fits = " ".join(
@@ -90,4 +110,4 @@ FROM p LEFT JOIN r{linkgraph.ROUNDS} r ON r.host = p.host
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op6_link_graph": op6(), "op7_token_rollup": OP7, "op8_rule_ledger": OP8}
+ORACLE_SQL: dict[str, str] = {"op6_link_graph": op6(), "op7_token_rollup": OP7, "op8_rule_ledger": OP8, "op10_ngram_jaccard": OP10}
