@@ -199,7 +199,8 @@ def spans(documents: DataFrame, blocks: DataFrame) -> DataFrame:
     guess = "cast(floor(cast({} as double) * n_blocks / source_size) as bigint)"
     d = documents.where("size > 0").withColumn("lo", F.expr(f"greatest(0L, {guess.format('at')} - 1)")).withColumn("hi", F.expr(f"least(n_blocks - 1, {guess.format('(at + size - 1)')} + 1)"))
     each = d.withColumn("block", F.explode(F.sequence("lo", "hi"))).where(f"{cut('block')} < at + size and {cut('block + 1')} > at")
-    met = each.join(blocks, ["code", "block"]).withColumn("first", F.expr("greatest(start, at) - at")).withColumn("stop", F.expr("least(end, at + size) - at"))
+    # the planner takes the exploded blocks for a few rows; they grow with the words, so they must not be broadcast
+    met = each.join(blocks.hint("merge"), ["code", "block"]).withColumn("first", F.expr("greatest(start, at) - at")).withColumn("stop", F.expr("least(end, at + size) - at"))
     return met.where("stop > first").select("doc_id", "h", "turn", "source", "code", "block", "copy", "shard", "order", "first", "stop")
 
 
