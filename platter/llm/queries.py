@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, linkgraph, mixing, ngram_join, rollup, rules
+from . import hilbert, linkgraph, mixing, ngram_join, repair, rollup, rules
 from .common import new_folder, table
 
 
@@ -23,6 +23,15 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard(read(spark, sf_dir, "documents"))
 
 
+def op3_repair_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """tokenizer: the vocabulary file; without one, the machine's own copy of public_tokenizers names it."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return repair.digest(read(spark, sf_dir, "documents"), str(tokenizer))
+
+
 def op6_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.verdicts(read(spark, sf_dir, "pages"))
 
@@ -55,4 +64,4 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_hilbert_shards, op6_link_graph, op7_token_rollup, op8_rule_ledger, op10_ngram_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_hilbert_shards, op3_repair_tokens, op6_link_graph, op7_token_rollup, op8_rule_ledger, op10_ngram_jaccard)}
