@@ -119,11 +119,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document of each word; no word crosses a document's end."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of each word; no word crosses a document's end. outside: which bytes are part of no word."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    inside = ~IS_SPACE[data]
+    inside = ~outside[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     edge = offsets[1:-1]
