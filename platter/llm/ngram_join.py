@@ -12,7 +12,8 @@
 3. In a bucket each node is compared with the bucket's least node, not with all others. Links found give components. A bucket
    whose nodes fall in several components is looked at again: every node outside the bucket's largest component is compared
    with all nodes of other components. After that no link between components can be missed, so components are exact.
-4. Verification compares whole sets: candidates' texts are found through a membership filter of fixed size, and a centre meets
+4. Every node has a bitmap of its tokens, 2 to 4 bits a token. Bits of one node that the other lacks are tokens that it lacks, so
+   pairs with too many of them are out for certain. Verification of the rest compares whole sets: their texts are found through a membership filter of fixed size, and a centre meets
    its members in a stream, over as many tasks as its group needs.
 
 Defined results: a null or blank text has an empty set, n_shingles 0, and is its own component; fewer than five words give one
@@ -92,14 +93,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def counts() -> pa.RecordBatch:
         token, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         token, n = token[n > 1].view(np.int64), n[n > 1]
-        return _rows(1, pa.nulls(len(n), pa.int64()), token, token, n)
+        return _rows(1, pa.nulls(len(n), pa.int64()), token, token, n, [None] * len(n))
 
     for batch in batches:
         node, size = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+        bits: list[bytes | None] = [None] * batch.num_rows
         for i, tokens in enumerate(_sets(batch)):
             node[i], size[i] = identity(tokens), len(tokens)
             if len(tokens) and node[i] not in seen:
                 seen.add(int(node[i]))
+                bits[i] = bitmap(tokens)
                 held.append(tokens)
                 many += len(tokens)
                 if many >= RUN:
@@ -107,12 +110,42 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.clear()
                     held.clear()
                     many = 0
-        yield _rows(0, batch["doc_id"], batch["row_key"].to_numpy(), node, size)
+        yield _rows(0, batch["doc_id"], batch["row_key"].to_numpy(), node, size, bits)
     yield counts()
 
 
-def _rows(kind: int, ids: pa.Array, key: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), ids.cast(pa.int64()), pa.array(key), pa.array(node), pa.array(n.astype(np.int64))], ["kind", "doc_id", "row_key", "node", "n"])
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Bit h mod m for each token h; m is the power of two of at least two bits a token. Half of a bitmap or-ed with the other
+    half is the bitmap of half the length."""
+    m = max(8, 1 << (2 * len(tokens) - 1).bit_length())
+    full = np.zeros(m, bool)
+    full[tokens & np.uint64(m - 1)] = True
+    return np.packbits(full, bitorder="little").tobytes()
+
+
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        na, nb = batch["na"].to_pylist(), batch["nb"].to_pylist()
+        keep = np.zeros(batch.num_rows, bool)
+        for i, (x, y) in enumerate(zip(batch["bits_a"], batch["bits_b"], strict=True)):
+            x, y = (np.frombuffer(z.as_buffer(), np.uint8) for z in (x, y))
+            while len(x) > len(y):
+                x = x[: len(x) // 2] | x[len(x) // 2 :]
+            while len(y) > len(x):
+                y = y[: len(y) // 2] | y[len(y) // 2 :]
+            inter = -(-THRESHOLD[0] * (na[i] + nb[i]) // (THRESHOLD[0] + THRESHOLD[1]))  # what both must have
+            keep[i] = np.bitwise_count(x & ~y).sum() <= na[i] - inter and np.bitwise_count(y & ~x).sum() <= nb[i] - inter
+        yield batch.filter(pa.array(keep)).select(["a", "b"])
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that their bitmaps don't rule out. nodes: node, n, bits."""
+    own = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+    return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_plausible, "a bigint, b bigint")
+
+
+def _rows(kind: int, ids: pa.Array, key: np.ndarray, node: np.ndarray, n: np.ndarray, bits: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), ids.cast(pa.int64()), pa.array(key), pa.array(node), pa.array(n.astype(np.int64)), pa.array(bits, pa.binary())], ["kind", "doc_id", "row_key", "node", "n", "bits"])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -312,7 +345,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, n_shingles, node, and group: the node's component (null for an empty set)."""
     bounded_batches(docs.sparkSession)
     docs = keyed(docs)
-    read = table(docs.mapInArrow(_read, "kind int, doc_id bigint, row_key bigint, node bigint, n bigint"), "sets")
+    read = table(docs.mapInArrow(_read, "kind int, doc_id bigint, row_key bigint, node bigint, n bigint, bits binary"), "sets")
     own = read.where("kind = 0")
     buckets = index(docs, *frequent(read.where("kind = 1")))
     first = table(stars(buckets), "buckets")
@@ -320,8 +353,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     again = table(again, "parts")
     pair = lambda df: df.where(_pairs("centre", "node", "cn", "n")).select(F.col("centre").alias("a"), F.col("node").alias("b"))
     pairs = table(pair(first).unionByName(pair(again)).distinct(), "pairs")
-    nodes = table(own.where("n > 0").groupBy("node").agg(F.min("row_key").alias("row_key")), "nodes")
-    links = table(verified(pairs, nodes, docs), "links")
+    nodes = table(own.where("n > 0").groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bits", True).alias("bits")), "nodes")
+    links = table(verified(table(plausible(pairs, nodes), "plausible"), nodes.select("node", "row_key"), docs), "links")
     comp = table(components(links), "comps")
     # buckets that still hold several components: who is outside the largest meets all of the others
     held = first.select("sig", "node", "n").join(comp, "node", "left").select("sig", "node", "n", F.coalesce("comp", "node").alias("comp"))
@@ -331,9 +364,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = open_.where("comp <> top").select("sig", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("top").alias("tx"))
     cross = out.join(open_, "sig").where("cx <> comp and (comp = top or x < node) and " + _pairs("x", "node", "nx", "n"))
     rest = cross.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = table(rest, "rest")
+    rest = table(plausible(rest, nodes), "rest")
     if not rest.isEmpty():
-        more = table(verified(rest, nodes, docs), "links")
+        more = table(verified(rest, nodes.select("node", "row_key"), docs), "links")
         comp = table(components(links.unionByName(more)), "comps")
     drop_table(first, again, open_)
     return own.join(comp, "node", "left").select("doc_id", "row_key", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("group"))
