@@ -32,21 +32,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_batches, chunks, flat, new_folder, table, word_spans
+from .common import CHUNK_BYTES, IS_SPACE, LOWER, bounded_batches, chunks, flat, new_folder, table
 
 END_ID = 1
 SHARD_TOKENS, STEP = 1 << 20, 4096
 #: A pair is frequent if it makes up this share of the shard's ids, and at least FEWEST of them.
-SHARE, FEWEST = 1 / 16384, 24
+SHARE, FEWEST = 1 / 8192, 32
 #: Rounds end when one shortens the sequence by less than this part.
 LEAST_GAIN = 0.02
 #: Words that a worker keeps, and how many words one call encodes.
-MOST_WORDS, JOINED = 400_000, 128
+MOST_WORDS, JOINED = 800_000, 128
 MAGIC = b"RePair01"
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Second bytes of the letters U+00C0 to U+00FF.
+_LATIN = np.zeros(256, bool)
+_LATIN[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
 
 
 class Encoder:
-    """Ids of texts by distinct words."""
+    """Ids of texts by distinct words. The ids of all known words lie in one pool."""
 
     _kept: dict[str, Encoder] = {}
 
@@ -56,7 +61,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # ids that end a piece
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.words: dict[bytes, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.words: dict[bytes, int] = {}
+        self.pool, self.used = np.zeros(1 << 20, np.uint16), 1
+        self.pool[0] = END_ID
+        self.at, self.size = np.zeros(1 << 18, np.int32), np.ones(1 << 18, np.int32)  # word 0 is the end of a document
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -67,55 +78,71 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _add(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        n, k = len(self.words) + 1, len(words)
+        while n + k > len(self.at):
+            self.at, self.size = (np.concatenate([x, x]) for x in (self.at, self.size))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, self.pool])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.at[n : n + k], self.size[n : n + k] = self.used + np.cumsum(size) - size, size
+        self.used += len(ids)
+        self.words.update(zip(words, range(n, n + k), strict=True))
+
     def learn(self, words: list[bytes]) -> None:
         """Words of letters only are one piece each, so many go into one call and are cut where pieces end."""
-        texts = [w.decode() for w in words]
+        texts = [w.decode().strip(" \t\n\v\f\r") for w in words]
         plain = [i for i, t in enumerate(texts) if t.isalpha()]
         odd = [i for i, t in enumerate(texts) if not t.isalpha()]
-        runs = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for run, ids in zip(runs, self.whole([" ".join(texts[i] for i in run) for run in runs]), strict=True):
-            row = np.array(ids, np.uint16)
-            cut = np.flatnonzero(self.ends[row]) + 1
-            if len(cut) == len(run) and cut[-1] == len(row):
-                for i, part in zip(run, np.split(row, cut[:-1]), strict=True):
-                    self.words[words[i]] = part
-            else:  # a letter that the tokenizer takes apart
-                odd += run
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
-            self.words[words[i]] = np.array(ids, np.uint16)
+        for lo in range(0, len(plain), JOINED * 64):
+            runs = [plain[i : i + JOINED] for i in range(lo, min(lo + JOINED * 64, len(plain)), JOINED)]
+            for run, ids in zip(runs, self.whole([" ".join(texts[i] for i in run) for run in runs]), strict=True):
+                row = np.array(ids, np.uint16)
+                cut = np.flatnonzero(self.ends[row]) + 1
+                if len(cut) == len(run) and cut[-1] == len(row):
+                    self._add([words[i] for i in run], row, np.diff(cut, prepend=0))
+                else:  # a letter that the tokenizer takes apart
+                    odd += run
+        for lo in range(0, len(odd), 4096):
+            part = odd[lo : lo + 4096]
+            ids = self.whole([texts[i] for i in part])
+            self._add([words[i] for i in part], np.array([x for row in ids for x in row], np.uint16), np.array([*map(len, ids)], np.int64))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of a flat batch, an end id after each document, and how many each document has."""
+        """The ids of a flat batch, an end id after each document, and how many each document has. A word is kept with the
+        white space behind it, so words lie side by side and none is copied. The tokenizer lower-cases, and a full stop or comma
+        behind a letter begins a piece; doing both here lets more words be shared. (Upper-case texts that would become names
+        of special tokens stay as they are.)"""
         n = len(offsets) - 1
-        start, end, doc = word_spans(data, offsets)
-        # a full stop or comma after an ASCII letter is a piece of its own: words are shared without it
-        tail, before = data[end - 1], data[np.maximum(end - 2, 0)]
-        cut = ((tail == 0x2C) | (tail == 0x2E)) & (end - start > 1) & (LOWER[before] >= 97) & (LOWER[before] <= 122)
-        order = np.argsort(np.concatenate([start, end[cut] - 1]), kind="stable") if cut.any() else slice(None)
-        start, end, doc = (np.concatenate(x)[order] for x in ((start, end[cut] - 1), (end - cut, end[cut]), (doc, doc[cut])))
-        size = end - start
-        upto = np.cumsum(size)
-        raw = data[np.repeat(start - (upto - size), size) + np.arange(int(size.sum()))]
-        spans = np.concatenate([[0], upto]).astype(np.int64)
-        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(spans), pa.py_buffer(raw)]).dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        if b"<|" not in memoryview(np.ascontiguousarray(data)).tobytes():
+            data = LOWER[data]
+        inside = ~IS_SPACE[data]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        mark = np.flatnonzero((data == 0x2C) | (data == 0x2E))
+        mark = mark[mark > 1]
+        begins[mark[_LETTER[data[mark - 1]] | ((data[mark - 2] == 0xC3) & _LATIN[data[mark - 1]])]] = True
+        edge = offsets[1:-1][offsets[1:-1] < len(data)]
+        begins[edge] = inside[edge]
+        start = np.flatnonzero(begins)
         if len(self.words) > MOST_WORDS:
-            self.words.clear()
-        if new := [w for w in words if w not in self.words]:
-            self.learn(new)
-        ids = [*map(self.words.__getitem__, words), np.array([END_ID], np.uint16)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool = np.concatenate(ids).astype(np.uint32)
-        pool_at = np.cumsum(lengths) - lengths
-        # one symbol for each word, and the end after each document
-        per = np.bincount(doc, minlength=n)
-        at = np.cumsum(per)
-        which = np.insert(coded.indices.to_numpy(), at, len(ids) - 1)
-        owner = np.insert(doc, at, np.arange(n))
-        count = lengths[which]
-        out_at = np.cumsum(count) - count
-        out = pool[np.repeat(pool_at[which] - out_at, count) + np.arange(int(count.sum()))]
-        return out, np.bincount(owner, count, n).astype(np.int64)
+            self.forget()
+        which = np.zeros(0, np.int32)
+        if len(start):
+            spans = np.append(start, len(data)).astype(np.int32)
+            coded = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(spans), pa.py_buffer(data)]).dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            if new := [w for w in words if w not in self.words]:
+                self.learn(new)
+            which = np.fromiter(map(self.words.__getitem__, words), np.int32, len(words))[coded.indices.to_numpy()]
+        last = np.searchsorted(start, offsets[1:])  # the end goes behind the last word of each document
+        which = np.insert(which, last, 0)
+        count = self.size[which]
+        upto = np.cumsum(count, dtype=np.int32)
+        index = np.repeat(self.at[which] - (upto - count), count)
+        index += np.arange(len(index), dtype=np.int32)
+        ends = upto[last + np.arange(n)]
+        return self.pool[index], np.diff(ends, prepend=0).astype(np.int64)
 
 
 def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,7 +282,7 @@ def _written(folder: str, tokenizer: str, shard_tokens: int):
             data, offsets = flat(b["text"])
             own = b["doc_id"]
             doc_ids, null = own.fill_null(0).to_numpy(zero_copy_only=False), own.is_null().to_numpy(zero_copy_only=False)
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, 4 * CHUNK_BYTES):
                 ids, counts = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 held.append((doc_ids[i:j], null[i:j], counts, ids))
                 many += len(ids)
