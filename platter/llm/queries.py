@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hilbert, linkgraph, mixing, ngram_join, repair, rollup, rules
+from . import decontam, hilbert, linkgraph, mixing, ngram_join, repair, rollup, rules, wrapper
 from .common import new_folder, table
 
 
@@ -36,6 +36,10 @@ def op4_pigeonhole_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_text(read(spark, sf_dir, "pages"))
+
+
 def op6_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.verdicts(read(spark, sf_dir, "pages"))
 
@@ -68,4 +72,4 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_hilbert_shards, op3_repair_tokens, op4_pigeonhole_decontam, op6_link_graph, op7_token_rollup, op8_rule_ledger, op10_ngram_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_hilbert_shards, op3_repair_tokens, op4_pigeonhole_decontam, op5_wrapper_text, op6_link_graph, op7_token_rollup, op8_rule_ledger, op10_ngram_jaccard)}
