@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass holds; a longer document makes a pass of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 #: A word is a run of bytes that are none of these (ASCII white space never occurs inside a UTF-8 sequence).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -100,7 +100,7 @@ class Rolling:
     def __init__(self, data: np.ndarray):
         n = len(data) + 1
         if len(Rolling._up) < n:
-            size = max(n, 1 << 21)
+            size = max(n, 1 << 19)
             for name, by in (("_up", self.BASE), ("_down", self.INVERSE)):
                 steps = np.full(size, by, np.uint64)
                 steps[0] = 1

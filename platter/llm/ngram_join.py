@@ -41,7 +41,7 @@ SMALL, FROM = 15, 12
 #: A token is frequent from FREQUENT sets on; the class holds MOST_FREQUENT tokens at most (8 bytes each), the most frequent.
 FREQUENT, MOST_FREQUENT = 48, 2_000_000
 #: Tokens that a counting run holds.
-RUN = 4_000_000
+RUN = 1_000_000
 #: Members that meet their centre in one task, and parts of a bucket of frequent tokens.
 MEMBERS, PARTS = 2048, 16
 
