@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, table
+from .common import drop_table, mixed, table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,33 +41,47 @@ def components(edges: DataFrame) -> DataFrame:
 FILTER_BITS = 1 << 26
 
 
+def _places(keys: np.ndarray) -> list[np.ndarray]:
+    h = mixed(keys.view(np.uint64))
+    return [h % np.uint64(FILTER_BITS), (h >> np.uint64(32)) % np.uint64(FILTER_BITS)]
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        p = np.unique(np.concatenate(_places(b["key"].to_numpy())))
+        yield pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (p & np.uint64(63))).view(np.int64))], ["word", "w"])
+
+
 class Member:
     """A Bloom filter with two hashes over long keys, built by the executors; what it rejects is certainly not a key."""
 
     def __init__(self, keys: DataFrame):
         """keys: one long column `key`."""
         spark = keys.sparkSession
-        place = lambda seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(FILTER_BITS))
-        bits = keys.select(F.explode(F.array(place(1), place(2))).alias("bit")).distinct()
-        words = bits.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("w"))
+        words = keys.mapInArrow(_bits, "word bigint, w bigint").groupBy("word").agg(F.bit_or("w").alias("w"))
         found = words.toArrow()  # at most FILTER_BITS / 64 rows
         full = np.zeros(FILTER_BITS // 64, np.int64)
         full[found["word"].to_numpy()] = found["w"].to_numpy()
         self.bits: Broadcast = spark.sparkContext.broadcast(full)
 
+    def test(self) -> Callable[[np.ndarray], np.ndarray]:
+        """For use inside Python functions: which of an array of keys may be in."""
+        bits = self.bits
+
+        def known(keys: np.ndarray) -> np.ndarray:
+            full, ok = bits.value.view(np.uint64), np.ones(len(keys), bool)
+            for p in _places(keys):
+                ok &= (full[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) > 0
+            return ok
+
+        return known
+
     def sift(self, rows: DataFrame, key: str) -> DataFrame:
         """rows without those whose key is certainly none."""
-        bits = self.bits
-        place = [F.pmod(F.xxhash64(key, F.lit(s)), F.lit(FILTER_BITS)).alias(f"__p{s}") for s in (1, 2)]
+        known = self.test()
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            full = bits.value.view(np.uint64)
             for b in batches:
-                ok = np.ones(b.num_rows, bool)
-                for s in (1, 2):
-                    p = b[f"__p{s}"].to_numpy()
-                    ok &= (full[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) > 0
-                yield b.filter(pa.array(ok)).select(names)
-
-        names = list(rows.columns)
-        return rows.select("*", *place).mapInArrow(keep, rows.schema)
+                yield b.filter(pa.array(known(b[key].to_numpy())))
+
+        return rows.mapInArrow(keep, rows.schema)

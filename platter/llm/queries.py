@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hilbert, linkgraph, mixing, ngram_join, repair, rollup, rules, wrapper
+from . import decontam, hilbert, linkgraph, mixing, ngram_join, pfp, repair, rollup, rules, wrapper
 from .common import new_folder, table
 
 
@@ -68,8 +68,12 @@ def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.digest(read(spark, sf_dir, "documents"))
 
 
+def op9_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfp.digest(read(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_hilbert_shards, op3_repair_tokens, op4_pigeonhole_decontam, op5_wrapper_text, op6_link_graph, op7_token_rollup, op8_rule_ledger, op10_ngram_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_hilbert_shards, op3_repair_tokens, op4_pigeonhole_decontam, op5_wrapper_text, op6_link_graph, op7_token_rollup, op8_rule_ledger, op9_prefix_free_parsing, op10_ngram_jaccard)}
