@@ -25,11 +25,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WORD_PATTERN, table
+from .common import WORD_PATTERN, bounded_batches, flat, table, word_spans
 
 WEIGHTS = (5.0, 2.0, 1.0)
 VOLUME, MOST_REPEATS = 1.5, 2.0
@@ -134,11 +135,16 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_PATTERN)).cast("long"), F.lit(0).cast("long")))
 
 
+def order_key(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", "source", "text")
+
+
 def mix(docs: DataFrame, seed: int = 20240607, n_shards: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, blocks). documents: uid, doc_id, source, size, source_size, target, and `at`, the offset of its first word in
-    its source. blocks: one row for each block instance: code, block, copy, shard, slot, start, end (words of the source)."""
+    """(documents, blocks). documents: doc_id, source, size, h and twin (a key: the hash that orders a source, and a number among
+    equal rows), source_size, target, and `at`, the offset of its first word in its source. blocks: one row for each block
+    instance: code, block, copy, shard, order, start, end (words of the source)."""
     spark = docs.sparkSession
-    light = sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit(""))).alias("h"))
+    light = sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).select("doc_id", "source", "size", order_key(seed).alias("h"))
     light = table(light, "sizes")
     totals = light.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
@@ -151,9 +157,10 @@ def mix(docs: DataFrame, seed: int = 20240607, n_shards: int | None = None) -> t
     before = bins.select("source", "bin", (F.sum("n").over(W.partitionBy("source").orderBy("bin")) - F.col("n")).alias("before"))
     w = W.partitionBy("source", "bin").orderBy("h", "doc_id", "size")
     inside = binned.withColumn("inside", F.sum("size").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")).withColumn("turn", F.row_number().over(w))
+    inside = inside.withColumn("twin", F.col("turn") - F.min("turn").over(W.partitionBy("source", "bin").orderBy("h").rangeBetween(0, 0)))
     placed = inside.join(before, (inside["source"].eqNullSafe(before["source"])) & (inside["bin"] == before["bin"]), "left")
-    placed = placed.select(inside["doc_id"], inside["source"], "size", "h", "turn", (F.coalesce("before", F.lit(0)) + F.col("inside")).alias("at"))
-    documents = placed.join(F.broadcast(facts), placed["source"].eqNullSafe(facts["source"]), "left").select(placed["doc_id"], placed["source"], "size", "h", "turn", "at", "code", "source_size", "target", "n_blocks")
+    placed = placed.select(inside["doc_id"], inside["source"], "size", "h", "twin", (F.coalesce("before", F.lit(0)) + F.col("inside")).alias("at"))
+    documents = placed.join(F.broadcast(facts), placed["source"].eqNullSafe(facts["source"]), "left").select(placed["doc_id"], placed["source"], "size", "h", "twin", "at", "code", "source_size", "target", "n_blocks")
     return documents, _instances(facts, planned, seed)
 
 
@@ -193,7 +200,7 @@ def _cut(block: np.ndarray, n: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def spans(documents: DataFrame, blocks: DataFrame) -> DataFrame:
-    """What the mix takes: a row for each piece of a document in a block instance: doc_id, h, turn, source, code, block, copy,
+    """What the mix takes: a row for each piece of a document in a block instance: doc_id, h, twin, source, code, block, copy,
     shard, order, first and stop (words of the document)."""
     cut = lambda k: f"({k}) * (source_size div n_blocks) + (({k}) * (source_size % n_blocks)) div n_blocks"
     guess = "cast(floor(cast({} as double) * n_blocks / source_size) as bigint)"
@@ -201,15 +208,15 @@ def spans(documents: DataFrame, blocks: DataFrame) -> DataFrame:
     each = d.withColumn("block", F.explode(F.sequence("lo", "hi"))).where(f"{cut('block')} < at + size and {cut('block + 1')} > at")
     # the planner takes the exploded blocks for a few rows; they grow with the words, so they must not be broadcast
     met = each.join(blocks.hint("merge"), ["code", "block"]).withColumn("first", F.expr("greatest(start, at) - at")).withColumn("stop", F.expr("least(end, at + size) - at"))
-    return met.where("stop > first").select("doc_id", "h", "turn", "source", "code", "block", "copy", "shard", "order", "first", "stop")
+    return met.where("stop > first").select("doc_id", "h", "twin", "source", "code", "block", "copy", "shard", "order", "first", "stop")
 
 
 def digest(docs: DataFrame, seed: int = 20240607) -> DataFrame:
     """Per document: size, its source's size and target, and the words that the mix takes of it."""
     documents, blocks = mix(docs, seed)
     documents = table(documents, "placed")
-    taken = spans(documents, blocks).groupBy("code", "h", "turn").agg(F.sum(F.col("stop") - F.col("first")).alias("taken"))
-    return documents.join(taken, ["code", "h", "turn"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    taken = spans(documents, blocks).groupBy("code", "h", "twin").agg(F.sum(F.col("stop") - F.col("first")).alias("taken"))
+    return documents.join(taken, ["code", "h", "twin"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
 def shards(docs: DataFrame, seed: int = 20240607) -> DataFrame:
@@ -217,4 +224,41 @@ def shards(docs: DataFrame, seed: int = 20240607) -> DataFrame:
     shuffle; pieces of a block follow the source's order."""
     documents, blocks = mix(docs, seed)
     pieces = spans(documents, blocks)
-    return pieces.withColumn("slot", F.row_number().over(W.partitionBy("shard").orderBy("order", "code", "block", "copy", "h", "turn", "first")))
+    return pieces.withColumn("slot", F.row_number().over(W.partitionBy("shard").orderBy("order", "code", "block", "copy", "h", "twin", "first")))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        data, offsets = flat(b["text"])
+        at: list[int] = []
+        texts: list[str] = []
+        for i, found in enumerate(b["found"].to_pylist()):
+            raw = data[offsets[i] : offsets[i + 1]]
+            start, end, _ = word_spans(raw, np.array([0, len(raw)]))
+            runs: list[list[int]] = []
+            for copy, first, stop in sorted((x["copy"], x["first"], x["stop"]) for x in found):
+                if runs and runs[-1][0] == copy and runs[-1][2] == first:
+                    runs[-1][2] = stop
+                else:
+                    runs.append([copy, first, stop])
+            for _, first, stop in runs:
+                whole = first == 0 and stop == len(start)
+                lo, hi = (0, len(raw)) if whole else (int(start[first]), int(end[stop - 1]))
+                at.append(i)
+                texts.append(raw[lo:hi].tobytes().decode())
+        if at:
+            yield pa.RecordBatch.from_arrays([b["row"].take(pa.array(at)), pa.array(texts, pa.string())], ["row", "text"])
+
+
+def mixed_texts(docs: DataFrame, seed: int = 20240607) -> DataFrame:
+    """The mix as documents with the columns of docs: a row for each run of words that it takes of a document in one copy, the
+    whole text where the run is the whole document, with n_chars, if there is one, of the text as it is then."""
+    bounded_batches(docs.sparkSession)
+    documents, blocks = mix(docs, seed)
+    taken = spans(documents, blocks).groupBy("h", "twin").agg(F.collect_list(F.struct("copy", "first", "stop")).alias("found"))
+    twin = F.row_number().over(W.partitionBy("h").orderBy("h")) - 1
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", F.col("doc_id").cast("long").alias("doc_id"), "source").withColumn("h", order_key(seed)).withColumn("twin", twin)
+    met = rows.join(taken, ["h", "twin"]).select("row", "text", "found")
+    out = met.mapInArrow(_pieces, T.StructType([T.StructField("row", met.schema["row"].dataType), T.StructField("text", T.StringType())]))
+    changed = {"text": F.col("text"), "n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select(*((changed[c] if changed.get(c) is not None else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

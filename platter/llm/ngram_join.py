@@ -149,7 +149,7 @@ def _rows(kind: int, ids: pa.Array, key: np.ndarray, node: np.ndarray, n: np.nda
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id"), F.col("text")).alias("row_key"))
 
 
 def frequent(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -372,6 +372,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return own.join(comp, "node", "left").select("doc_id", "row_key", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("group"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents, less all but one of each component: the one of the smallest id stays, of repeated rows one. Documents with
+    empty sets stay. Rows are only compared with the list of those that go or are repeated."""
+    found = table(near_duplicates(docs).select("doc_id", "row_key", "group"), "groups")
+    best = found.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("best"))
+    rows = found.where("group is not null").groupBy("row_key", "group").agg(F.count("*").alias("times"))
+    marks = rows.join(best, "group").select(F.col("row_key").alias("mark"), (F.col("row_key") != F.col("best.row_key")).alias("goes"), "times").where("goes or times > 1")
+    marks = table(marks, "marks")
+    keyed_ = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"))
+    single = keyed_.join(marks, F.col("key") == F.col("mark"), "left_anti").select("row")
+    again = keyed_.join(marks.where("not goes"), F.col("key") == F.col("mark")).dropDuplicates(["key"]).select("row")
+    return single.unionByName(again).select("row.*")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """Per document: the size of its set and the smallest id of its component."""
     found = near_duplicates(docs)
