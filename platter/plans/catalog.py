@@ -1,10 +1,8 @@
-"""Queries by name, with the SQL that must give the same rows."""
+"""All queries of the plan modules."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import names, ordered, texts, trees  # noqa: F401  they register their queries
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
