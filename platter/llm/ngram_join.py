@@ -9,9 +9,10 @@
    and stand last, makes no large buckets. Very small sets have a tier of their own with single tokens.
    Frequency: each task counts tokens over runs of documents and reports those met at least twice in a run, so a token missed
    by all runs occurs at most once in each; any order gives whole results, it only decides the cost.
-3. In a bucket each node is compared with the bucket's least node, not with all others. Links found give components. A bucket
-   whose nodes fall in several components is looked at again: every node outside the bucket's largest component is compared
-   with all nodes of other components. After that no link between components can be missed, so components are exact.
+3. In a bucket each node is compared with one centre, not with all others. Links found give components. A bucket
+   whose nodes fall in several components is looked at again: its outsiders meet other members of the largest component, which
+   brings large groups together without all pairs, and every node then outside is compared with all nodes of other
+   components. After that no link between components can be missed, so components are exact.
 4. Every node has a bitmap of its tokens, 2 to 4 bits a token. Bits of one node that the other lacks are tokens that it lacks, so
    pairs with too many of them are out for certain. Verification of the rest compares whole sets: their texts are found through a membership filter of fixed size, and a centre meets
    its members in a stream, over as many tasks as its group needs.
@@ -39,11 +40,15 @@ THRESHOLD = (80, 100)
 #: set below FROM is above SMALL.
 SMALL, FROM = 15, 12
 #: A token is frequent from FREQUENT sets on; the class holds MOST_FREQUENT tokens at most (8 bytes each), the most frequent.
-FREQUENT, MOST_FREQUENT = 48, 2_000_000
+FREQUENT, MOST_FREQUENT = 12, 2_000_000
 #: Tokens that a counting run holds.
 RUN = 1_000_000
 #: Members that meet their centre in one task, and parts of a bucket of frequent tokens.
 MEMBERS, PARTS = 2048, 16
+#: Rounds in which outsiders of large buckets meet single members of the largest component, and how many pairs a row of an
+#: unsettled bucket may cost for them to be left out, or which part of their pairs must be links for another round. They only
+#: save work: the last round compares all that is left.
+ROUNDS, ENOUGH, WORTH = 6, 8, 0.2
 
 _ONE, _TWO, _PAIR = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
 
@@ -177,8 +182,9 @@ def tier(n: int) -> int:
     return max(8, n.bit_length() - 1)
 
 
-def signatures(tokens: np.ndarray, common: np.ndarray, counts: np.ndarray, hint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures of one set and which of them are of frequent tokens. tokens: sorted. hint: a table of bits that says
+def signatures(tokens: np.ndarray, common: np.ndarray, counts: np.ndarray, hint: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The signatures of one set, which of them are of frequent tokens, and how late in the order: the place of the last token
+    less the k of the guarantee. tokens: sorted. hint: a table of bits that says
     which low bits frequent tokens have. Where partners can be of two tiers, the set is indexed under both."""
     n = len(tokens)
     spare = n - -(-THRESHOLD[0] * n // THRESHOLD[1])
@@ -196,32 +202,39 @@ def signatures(tokens: np.ndarray, common: np.ndarray, counts: np.ndarray, hint:
         chosen, often = tokens[order], often[order]
     else:
         chosen, often = tokens[:need], often[:need]
-    out, kind = [], []
+    k = (1 << tiers[-1]) // 32 + 1
+    place = np.arange(1, len(chosen) + 1)
+    out, kind, late = [], [], []
     if n <= SMALL:
         few = chosen[: spare + 1]
         out.append(mixed(few ^ _ONE))
         kind.append(often[: spare + 1] > 0)
+        late.append(place[: spare + 1] - 1)
     if n >= FROM:
         rare = chosen[often == 0]
         out.append(mixed(rare ^ _TWO))
         kind.append(np.zeros(len(rare), bool))
+        late.append(place[often == 0] - k)
         for t in tiers:
             groups = (1 << t) // 32
             own = min(n, spare + groups + 1)
-            hot = np.sort(chosen[:own][often[:own] > 0])
+            hot, at = chosen[:own][often[:own] > 0], place[:own][often[:own] > 0]
+            by = np.argsort(hot)
+            hot, at = hot[by], at[by]
             group = ((hot >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
             order = np.argsort(group, kind="stable")
-            hot, edges = hot[order], np.searchsorted(group[order], np.arange(groups + 1))
+            hot, at, edges = hot[order], at[order], np.searchsorted(group[order], np.arange(groups + 1))
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 if hi - lo > 1:
                     a, b = np.triu_indices(hi - lo, 1)
                     out.append(mixed(mixed(hot[lo + a] ^ _PAIR ^ np.uint64(t)) + hot[lo + b]))
                     kind.append(np.ones(len(a), bool))
-    return np.concatenate(out), np.concatenate(kind)
+                    late.append(np.maximum(at[lo + a], at[lo + b]) - k)
+    return np.concatenate(out), np.concatenate(kind), np.concatenate(late)
 
 
 def index(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """sig, part (of a bucket of frequent tokens), node, n: the buckets that each set is in."""
+    """sig, part (of a bucket of frequent tokens), node, n, late: the buckets that each set is in."""
     shared = docs.sparkSession.sparkContext.broadcast((common, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,56 +248,64 @@ def index(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
                 if not len(tokens) or (node := identity(tokens)) in seen:
                     continue
                 seen.add(node)
-                sig, hot = signatures(tokens, often, times, hint)
-                out.append((sig, hot, np.full(len(sig), node, np.int64), np.full(len(sig), len(tokens), np.int32)))
+                sig, hot, late = signatures(tokens, often, times, hint)
+                out.append((sig, hot, late.astype(np.int32), np.full(len(sig), node, np.int64), np.full(len(sig), len(tokens), np.int32)))
             if out:
-                sig, hot, node, n = (np.concatenate(x) for x in zip(*out, strict=True))
+                sig, hot, late, node, n = (np.concatenate(x) for x in zip(*out, strict=True))
                 part = np.where(hot, 1 + (node & (PARTS - 1)), 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(part), pa.array(node), pa.array(n)], ["sig", "part", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(part), pa.array(node), pa.array(n), pa.array(late)], ["sig", "part", "node", "n", "late"])
 
-    return docs.select("text").mapInArrow(run, "sig bigint, part int, node bigint, n int")
+    return docs.select("text").mapInArrow(run, "sig bigint, part int, node bigint, n int, late int")
 
 
 def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in the order of bucket and node: each node with its bucket's least one. Buckets with one node go, but for
+    """From rows in the order of bucket, late and node: each node with its bucket's first one, which has the fewest rare tokens and
+    so is the likeliest to be near all others. Buckets with one node go, but for
     those of frequent tokens, which are met again with their other parts. Only the bucket at hand is kept, as its centre."""
-    last = None  # sig, part, node, n of the centre and whether it has been given out
+    last = None  # sig, part, node, n, late of the centre and whether it has been given out
     for b in batches:
-        cols = [b[c].to_numpy() for c in ("sig", "part", "node", "n")]
+        cols = [b[c].to_numpy() for c in ("sig", "part", "node", "n", "late")]
         if not b.num_rows:
             continue
         if last is not None:
             cols = [np.concatenate([np.array([x], c.dtype), c]) for x, c in zip(last, cols, strict=False)]
-        sig, part, node, n = cols
+        sig, part, node, n, late = cols
         head = np.ones(len(sig), bool)
         head[1:] = (sig[1:] != sig[:-1]) | (part[1:] != part[:-1])
         fresh = head.copy()
         fresh[1:] |= node[1:] != node[:-1]
-        if last is not None and last[4]:
+        if last is not None and last[5]:
             fresh[0] = False
         centre = np.maximum.accumulate(np.where(head, np.arange(len(sig)), 0))
         other = fresh & ~head
         has = np.zeros(len(sig), bool)
         has[centre[other]] = True
         give = other | (fresh & head & (has | (part > 0)))
-        done = bool(has[centre[-1]] or part[-1] > 0 or (centre[-1] == 0 and last is not None and last[4]))
+        done = bool(has[centre[-1]] or part[-1] > 0 or (centre[-1] == 0 and last is not None and last[5]))
         c = centre[-1]
-        last = (sig[c], part[c], node[c], n[c], done)
+        last = (sig[c], part[c], node[c], n[c], late[c], done)
         at = np.flatnonzero(give)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig[at], part[at], node[at], n[at], node[centre[at]], n[centre[at]])], ["sig", "part", "node", "n", "centre", "cn"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig[at], part[at], node[at], n[at], late[at], node[centre[at]], n[centre[at]], late[centre[at]])], ["sig", "part", "node", "n", "late", "centre", "cn", "clate"])
 
 
-_STAR = "sig bigint, part int, node bigint, n int, centre bigint, cn int"
+_STAR = "sig bigint, part int, node bigint, n int, late int, centre bigint, cn int, clate int"
 
 
 def stars(rows: DataFrame) -> DataFrame:
-    return rows.repartition("sig", "part").sortWithinPartitions("sig", "part", "node").mapInArrow(_starred, _STAR)
+    return rows.repartition("sig", "part").sortWithinPartitions("sig", "part", "late", "node").mapInArrow(_starred, _STAR)
 
 
-def _pairs(a: str, b: str, na: str, nb: str) -> str:
-    """Sizes that can reach the threshold."""
-    return f"{a} <> {b} and {THRESHOLD[1]} * least({na}, {nb}) >= {THRESHOLD[0]} * greatest({na}, {nb})"
+def _common(na: str, nb: str) -> str:
+    """How many tokens two sets of these sizes must share to reach the threshold."""
+    return f"({THRESHOLD[0]} * ({na} + {nb}) + {THRESHOLD[0] + THRESHOLD[1] - 1}) div {THRESHOLD[0] + THRESHOLD[1]}"
+
+
+def _pairs(a: str, b: str, na: str, nb: str, la: str, lb: str) -> str:
+    """Two sets of a bucket that can reach the threshold by their sizes, and whose signature is among the first tokens that they
+    must share: the first k common tokens of a pair stand among the first n - common + k of each, so a pair that is refused
+    here for its places is met in another bucket, or reaches nothing."""
+    return f"{a} <> {b} and {THRESHOLD[1]} * least({na}, {nb}) >= {THRESHOLD[0]} * greatest({na}, {nb}) and {la} <= {na} - {_common(na, nb)} and {lb} <= {nb} - {_common(na, nb)}"
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -341,6 +362,15 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
 
+def unsettled(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows of buckets whose nodes are of several components: sig, node, n, late, comp, top (the largest component), size. Buckets
+    of two have had their only pair compared."""
+    held = members.join(comp, "node", "left").select("sig", "node", "n", "late", F.coalesce("comp", "node").alias("comp"))
+    each = held.groupBy("sig", "comp").agg(F.count("*").alias("c"))
+    most = each.groupBy("sig").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("k"), F.sum("c").alias("size")).where("k > 1 and size > 2")
+    return table(held.join(most.select("sig", F.col("top.comp").alias("top"), "size"), "sig"), "open")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, n_shingles, node, and group: the node's component (null for an empty set)."""
     bounded_batches(docs.sparkSession)
@@ -349,24 +379,45 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = read.where("kind = 0")
     buckets = index(docs, *frequent(read.where("kind = 1")))
     first = table(stars(buckets), "buckets")
-    again = stars(first.where("part > 0 and node = centre").select("sig", F.lit(0).alias("part"), "node", "n"))
+    again = stars(first.where("part > 0 and node = centre").select("sig", F.lit(0).alias("part"), "node", "n", "late"))
     again = table(again, "parts")
-    pair = lambda df: df.where(_pairs("centre", "node", "cn", "n")).select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    pair = lambda df: df.where(_pairs("centre", "node", "cn", "n", "clate", "late")).select(F.col("centre").alias("a"), F.col("node").alias("b"))
     pairs = table(pair(first).unionByName(pair(again)).distinct(), "pairs")
     nodes = table(own.where("n > 0").groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bits", True).alias("bits")), "nodes")
     links = table(verified(table(plausible(pairs, nodes), "plausible"), nodes.select("node", "row_key"), docs), "links")
     comp = table(components(links), "comps")
-    # buckets that still hold several components: who is outside the largest meets all of the others
-    held = first.select("sig", "node", "n").join(comp, "node", "left").select("sig", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    each = held.groupBy("sig", "comp").agg(F.count("*").alias("c"))
-    most = each.groupBy("sig").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("k"), F.sum("c").alias("size")).where("k > 1 and size > 2").select("sig", F.col("top.comp").alias("top"))
-    open_ = table(held.join(most, "sig"), "open")
-    out = open_.where("comp <> top").select("sig", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("top").alias("tx"))
-    cross = out.join(open_, "sig").where("cx <> comp and (comp = top or x < node) and " + _pairs("x", "node", "nx", "n"))
-    rest = cross.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    light = nodes.select("node", "row_key")
+    # rows that stand too late for any partner that the bucket has, or could have, meet nobody there
+    least = first.groupBy("sig").agg(F.min("n").alias("low"))
+    able = "late <= n - " + _common("n", f"greatest(low, ({THRESHOLD[0]} * n + {THRESHOLD[1] - 1}) div {THRESHOLD[1]})")
+    members = table(first.join(least, "sig").where(able).select("sig", "node", "n", "late"), "members")
+    for turn in range(ROUNDS):
+        open_ = unsettled(members, comp)
+        # outsiders meet one member of the bucket's largest component, another one in each bucket, before they meet all
+        work = open_.agg(F.count("*").alias("n"), F.sum(F.when(F.col("comp") != F.col("top"), F.col("size"))).alias("pairs")).first()
+        if (work["pairs"] or 0) <= ENOUGH * work["n"]:
+            break
+        centre = open_.where("comp = top").groupBy("sig").agg(F.min_by(F.struct("node", "n", "late"), F.struct("late", F.xxhash64("node", "sig", F.lit(turn)))).alias("c"))
+        outside = open_.where("comp <> top").join(centre, "sig").where(_pairs("c.node", "node", "c.n", "n", "c.late", "late"))
+        tried = table(plausible(outside.select(F.least("c.node", "node").alias("a"), F.greatest("c.node", "node").alias("b")).distinct(), nodes), "tried")
+        more = table(verified(tried, light, docs), "links")
+        found = more.count()
+        if found:
+            links = table(links.unionByName(more), "links")
+            comp = table(components(links), "comps")
+        if found < WORTH * tried.count():
+            open_ = unsettled(members, comp)
+            break
+    else:
+        open_ = unsettled(members, comp)
+    # what is still outside the largest component of a bucket meets all nodes of its other components
+    out = open_.where("comp <> top").select("sig", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("late").alias("lx"), F.col("comp").alias("cx"))
+    cross = out.join(open_, "sig").where("cx <> comp and (comp = top or x < node) and " + _pairs("x", "node", "nx", "n", "lx", "late"))
+    rest = cross.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    rest = rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     rest = table(plausible(rest, nodes), "rest")
     if not rest.isEmpty():
-        more = table(verified(rest, nodes.select("node", "row_key"), docs), "links")
+        more = table(verified(rest, light, docs), "links")
         comp = table(components(links.unionByName(more)), "comps")
     drop_table(first, again, open_)
     return own.join(comp, "node", "left").select("doc_id", "row_key", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("group"))
