@@ -61,8 +61,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 16 MB, so that runs of very long texts don't fill a worker."""
-    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20), ("spark.sql.execution.arrow.maxRecordsPerBatch", 4096)):
+    """Arrow batches of about 4 MB, so that runs of very long texts don't fill a worker."""
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20), ("spark.sql.execution.arrow.maxRecordsPerBatch", 2048)):
         spark.conf.set(key, value)
 
 

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,23 +100,24 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _measured(batches: Iterator[pa.RecordBatch], keep: Sequence[str]) -> Iterator[pa.RecordBatch]:
+def _measured(batches: Iterator[pa.RecordBatch], keep: Sequence[str], inside: str | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = flat(batch["text"])
+        data, offsets = flat(pc.struct_field(batch[inside], "text") if inside else batch["text"])
         parts = [measure(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets)]
         found = [pa.array(np.concatenate([p[m] for p in parts]) if parts else np.zeros(0, np.int64), pa.int64()) for m in MEASURES]
         yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *found], [*keep, *MEASURES])
 
 
-def ledger(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """One row per document: the carried columns, the measurements, and `failed`, whose bit i is set if rule i failed."""
+def ledger(docs: DataFrame, carry: Sequence[str] = ("doc_id",), inside: str | None = None) -> DataFrame:
+    """One row per document: the carried columns, the measurements, and `failed`, whose bit i is set if rule i failed. inside: a
+    carried struct that has the text; without it there is a column of that name."""
     if clash := {*carry} & {*MEASURES, "failed"}:
         raise ValueError(f"columns of the ledger's own names: {sorted(clash)}")
     bounded_batches(docs.sparkSession)
     keep = list(carry)
-    own = docs.select(*keep, *(["text"] if "text" not in keep else []))
+    own = docs.select(*keep, *(["text"] if "text" not in keep and not inside else []))
     schema = ", ".join([*(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in keep), *(f"{m} bigint" for m in MEASURES)])
-    rows = own.mapInArrow(lambda it: _measured(it, keep), schema)
+    rows = own.mapInArrow(lambda it: _measured(it, keep, inside), schema)
     bits = F.lit(0).cast("long")
     for r in RULES:
         bits = bits + F.when(F.expr(r.failed), F.lit(1 << r.bit).cast("long")).otherwise(F.lit(0).cast("long"))
@@ -145,5 +147,5 @@ def digest(docs: DataFrame, policy: str = "v2") -> DataFrame:
 
 def kept(docs: DataFrame, policy: str = "v2") -> DataFrame:
     """The documents that pass, with all their own columns; the rows travel as one struct, so no name can clash."""
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
-    return ledger(whole, ("row",)).where(passes("base") & passes(policy)).select("row.*")
+    whole = docs.select(F.struct(*docs.columns).alias("row"))
+    return ledger(whole, ("row",), inside="row").where(passes("base") & passes(policy)).select("row.*")
