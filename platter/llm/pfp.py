@@ -10,11 +10,12 @@ is that of ranks, not of the alphabet, which decides the same repeats.
 1. For a string whose first trigger is at most REACH bytes from its start, the bytes from the trigger on that every such string
    has (the core) are the parse rank to sort by first. Second comes the rank of the whole context: from the earliest to the
    latest string that has this first trigger. Equal contexts make all strings of the trigger repeated at once.
-2. Where a core is met with different contexts, the strings of these triggers are ranked one by one and sorted again.
+2. Where a core is met with different contexts, the strings of these triggers are ranked in blocks of BLOCK neighbours, each with
+   a core and a context of its own, and sorted again; where a block's core is met with different contexts, string by string.
 3. Strings without a trigger that early are ranked one by one in the first sort.
 
 Each batch sorts its own suffixes first and sends one of each rank, so a passage with any number of copies is a few rows of the
-shuffle. Texts are read three times and shuffled at most once, for the documents that have repeats.
+shuffle. Texts are read again for each level, and shuffled only where documents have repeats.
 
 Defined results: a null or empty text has no bytes and nothing removed (checksum of nothing); texts shorter than LENGTH lose
 nothing; a repeated row is a copy, so both lose what is long enough; null ids are carried; an empty table gives no rows; extra
@@ -24,7 +25,8 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import Rolling, bounded_batches, chunks, flat, mixed, table
 from .components import Member
 
-LENGTH, WINDOW, EVERY, REACH = 400, 12, 48, 248
+LENGTH, WINDOW, EVERY, REACH, BLOCK = 400, 12, 40, 272, 8
 _LIMIT = np.uint64((1 << 64) // EVERY)
 _CORE, _CONTEXT, _SINGLE, _LEN, _AT = (np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
 
@@ -75,9 +77,21 @@ class Parse:
     def core(self) -> np.ndarray:
         return mixed(self.hashes.of(self.q, self.q + LENGTH - REACH) ^ _CORE)
 
-    def context(self) -> np.ndarray:
-        start, end = self.q - self.hi, self.q + LENGTH - self.lo
-        return mixed(mixed(self.hashes.of(start, end) ^ _CONTEXT) + (end - start).astype(np.uint64) * _LEN + self.hi.astype(np.uint64) * _AT)
+    def context(self, lo: np.ndarray, hi: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The rank of the strings that start lo to hi bytes before q, together."""
+        start, end = q - hi, q + LENGTH - lo
+        return mixed(mixed(self.hashes.of(start, end) ^ _CONTEXT) + (end - start).astype(np.uint64) * _LEN + hi.astype(np.uint64) * _AT)
+
+    def blocks(self, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For triggers: trigger, lo, hi and core of each block of BLOCK neighbouring starts. Blocks lie at fixed distances from
+        the trigger; a core is what all strings of a full block have."""
+        first, last = self.lo[at] // BLOCK, self.hi[at] // BLOCK
+        n = last - first + 1
+        t = np.repeat(at, n)
+        k = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        lo, hi = np.maximum(self.lo[t], k * BLOCK), np.minimum(self.hi[t], k * BLOCK + BLOCK - 1)
+        start, end = self.q[t] - k * BLOCK, self.q[t] + LENGTH - (k * BLOCK + BLOCK - 1)
+        return t, lo, hi, mixed(mixed(self.hashes.of(start, end) ^ _CORE) + (k + 1).astype(np.uint64) * _AT)
 
     def strings(self, start: np.ndarray) -> np.ndarray:
         return mixed(self.hashes.of(start, start + LENGTH) ^ _SINGLE)
@@ -89,58 +103,87 @@ def _parsed(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, Parse]]:
         yield i, offsets[i : j + 1] - offsets[i], Parse(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-_ROWS = "core bigint, context bigint, doc bigint, first int, last int, done boolean"
+_ROWS = "core bigint, context bigint, doc bigint, first int, last int, span boolean, known boolean"
+_NAMES = [c.split()[0] for c in _ROWS.split(", ")]
 
 
-def _table(core: np.ndarray, context: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, done: np.ndarray) -> pa.RecordBatch:
-    """first and last: the first and the last start of the strings that a row stands for."""
-    return pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(done)], ["core", "context", "doc", "first", "last", "done"])
+def _table(core: np.ndarray, context: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, span: bool, known: np.ndarray) -> pa.RecordBatch:
+    """Rows for the strings that start from first to last in a document. span: they are repeated, core and context say nothing;
+    else they are ranked by (core, context), and known says that their spans have been given."""
+    return pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(np.full(len(core), span)), pa.array(known)], _NAMES)
 
 
-def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row of each (core, context) of a batch. Rows with a core of 0 are repeats known already: spans of starts, merged."""
+def _spans(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    return _table(mixed(doc.view(np.uint64)), np.zeros(len(doc), np.uint64), doc, first, last, True, np.ones(len(doc), bool))
+
+
+def _ranked(core: np.ndarray, context: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row of each (core, context) of a batch, and the repeats inside the batch as few spans. doc: rows of the batch."""
+    order = np.lexsort((context, core))
+    same = np.zeros(len(order), bool)
+    same[1:] = (core[order][1:] == core[order][:-1]) & (context[order][1:] == context[order][:-1])
+    again = same.copy()
+    again[:-1] |= same[1:]
+    one = order[~same]
+    yield _table(core[one], context[one], keys[doc[one]], first[one], last[one], False, again[~same])
+    many = order[again]
+    if len(many):
+        many = many[np.lexsort((first[many], doc[many]))]
+        d, a, b = doc[many], first[many], last[many]
+        reach = np.maximum.accumulate(b + d * (1 << 40)) - d * (1 << 40)
+        begin = np.ones(len(d), bool)
+        # every string covers LENGTH bytes, so starts up to that far apart leave no byte between them
+        begin[1:] = (d[1:] != d[:-1]) | (a[1:] > reach[:-1] + LENGTH)
+        at = np.flatnonzero(begin)
+        yield _spans(keys[d[at]], a[at], np.maximum.reduceat(b, at))
+
+
+Known = Callable[[np.ndarray], np.ndarray]
+
+
+def _level(batches: Iterator[pa.RecordBatch], several: list[Known]) -> Iterator[pa.RecordBatch]:
+    """Ranks the strings of a level: without filters whole triggers and single strings, with one the blocks of triggers whose
+    core may have several contexts, with two the strings of blocks of which the same holds."""
     for batch in batches:
         keys = batch["row_key"].to_numpy()
         parts: list[tuple[np.ndarray, ...]] = []
         for i, offsets, p in _parsed(batch):
-            base = offsets[p.doc]
-            parts.append((p.core(), p.context(), i + p.doc, p.q - p.hi - base, p.q - p.lo - base))
-            s = p.strings(p.single)
-            at = p.single - offsets[p.single_doc]
-            parts.append((s, s, i + p.single_doc, at, at))
-        if not parts:
-            continue
-        core, context, doc, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((context, core))
-        same = np.zeros(len(order), bool)
-        same[1:] = (core[order][1:] == core[order][:-1]) & (context[order][1:] == context[order][:-1])
-        again = same.copy()
-        again[:-1] |= same[1:]
-        one = order[~same]
-        yield _table(core[one], context[one], keys[doc[one]], first[one], last[one], again[~same])
-        # the repeats inside the batch, as few spans of starts as there are
-        many = np.sort(order[again])
-        if len(many):
-            many = many[np.lexsort((first[many], doc[many]))]
-            d, a, b = doc[many], first[many], last[many]
-            reach = np.maximum.accumulate(b + d * (1 << 40)) - d * (1 << 40)
-            begin = np.ones(len(d), bool)
-            # every string covers LENGTH bytes, so starts up to that far apart leave no byte between them
-            begin[1:] = (d[1:] != d[:-1]) | (a[1:] > reach[:-1] + LENGTH)
-            at = np.flatnonzero(begin)
-            z = np.zeros(len(at), np.uint64)
-            yield _table(z, z, keys[d[at]], a[at], np.maximum.reduceat(b, at), np.ones(len(at), bool))
+            if not several:
+                base = offsets[p.doc]
+                parts.append((p.core(), p.context(p.lo, p.hi, p.q), i + p.doc, p.q - p.hi - base, p.q - p.lo - base))
+                s = p.strings(p.single)
+                at = p.single - offsets[p.single_doc]
+                parts.append((s, s, i + p.single_doc, at, at))
+                continue
+            t, lo, hi, core = p.blocks(np.flatnonzero(several[0](p.core().view(np.int64))))
+            context = p.context(lo, hi, p.q[t])
+            if len(several) > 1:
+                _, fresh = np.unique(context, return_index=True)  # equal contexts have equal strings: one of them will do
+                ok = fresh[several[1](core[fresh].view(np.int64))]
+                n = hi[ok] - lo[ok] + 1
+                start = np.repeat(p.q[t[ok]] - hi[ok], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                doc, core = np.repeat(p.doc[t[ok]], n), p.strings(start)
+                parts.append((core, core, i + doc, start - offsets[doc], start - offsets[doc]))
+            else:
+                doc = p.doc[t]
+                parts.append((core, context, i + doc, p.q[t] - hi - offsets[doc], p.q[t] - lo - offsets[doc]))
+        if parts:
+            yield from _ranked(*(np.concatenate(x) for x in zip(*parts, strict=True)), keys)
 
 
 def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in the order of (core, context): rows with core 0 are repeated strings; others name a core met with several
-    contexts. Of a run across batches the first row is kept."""
-    last: dict | None = None  # the row before, whether it is repeated, whether its core is known to have several contexts
-    for b in batches:
+    """From rows in the order of (core, context): spans of repeated strings, and rows that name a core met with several
+    contexts. Of a run across batches only the row before is kept."""
+    last: dict | None = None
+    for whole in batches:
+        passing = whole["span"].to_numpy(zero_copy_only=False)
+        if passing.any():
+            yield whole.filter(whole["span"])
+        b = whole.filter(pa.array(~passing))
         if not b.num_rows:
             continue
         core, context = b["core"].to_numpy().view(np.uint64), b["context"].to_numpy().view(np.uint64)
-        doc, first, end = b["doc"].to_numpy(), b["first"].to_numpy(), b["last"].to_numpy()
+        doc, first, end, known = b["doc"].to_numpy(), b["first"].to_numpy(), b["last"].to_numpy(), b["known"].to_numpy(zero_copy_only=False)
         n = len(core)
         equal_core, equal = np.zeros(n, bool), np.zeros(n, bool)
         equal_core[1:] = core[1:] == core[:-1]
@@ -151,55 +194,29 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated = equal.copy()
         repeated[:-1] |= equal[1:]
         if equal[0] and not last["given"]:
-            yield _table(np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.array([last["doc"]]), np.array([last["first"]]), np.array([last["end"]]), np.ones(1, bool))
-        at = np.flatnonzero(repeated)
+            yield _spans(*(np.array([last[k]]) for k in ("doc", "first", "end")))
+        at = np.flatnonzero(repeated & ~known)
         if len(at):
-            z = np.zeros(len(at), np.uint64)
-            yield _table(z, z, doc[at], first[at], end[at], np.ones(len(at), bool))
+            yield _spans(doc[at], first[at], end[at])
         several = np.unique(core[equal_core & ~equal])
         if len(several):
             z = np.zeros(len(several), np.int64)
-            yield _table(several, np.zeros(len(several), np.uint64), z, z, z, np.ones(len(several), bool))
-        last = {"core": core[-1], "context": context[-1], "doc": doc[-1], "first": first[-1], "end": end[-1], "given": bool(repeated[-1])}
-
-
-def _singly(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
-    """The strings, one by one, of triggers whose core may have several contexts; of each context of a batch once."""
-    for batch in batches:
-        keys = batch["row_key"].to_numpy()
-        parts: list[tuple[np.ndarray, ...]] = []
-        seen: set[int] = set()
-        for i, offsets, p in _parsed(batch):
-            ok = np.flatnonzero(known(p.core().view(np.int64)))
-            context = p.context()[ok]
-            fresh = np.zeros(len(ok), bool)
-            for k, c in enumerate(context.tolist()):
-                if c not in seen:
-                    seen.add(c)
-                    fresh[k] = True
-            ok = ok[fresh]
-            n = p.hi[ok] - p.lo[ok] + 1
-            start = np.repeat(p.q[ok] - p.hi[ok], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            d = np.repeat(p.doc[ok], n)
-            parts.append((p.strings(start), keys[i + d], start - offsets[d]))
-        if parts:
-            h, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if len(h):
-                yield _table(h, h, doc, at, at, np.zeros(len(h), bool))
+            yield _table(several, np.zeros(len(several), np.uint64), z, z, z, False, np.ones(len(several), bool))
+        last = {"core": core[-1], "context": context[-1], "doc": doc[-1], "first": first[-1], "end": end[-1], "given": bool(repeated[-1] or known[-1])}
 
 
 def starts(docs: DataFrame) -> DataFrame:
     """doc (row_key), first, last: spans of starts of strings that also start elsewhere, of documents (row_key, text)."""
-    by = lambda df: df.repartition("core").sortWithinPartitions("core", "context").mapInArrow(_sorted_runs, _ROWS)
-    ranked = docs.select("row_key", "text").mapInArrow(_ranked, _ROWS)
-    # repeats inside a batch pass by; all else is put in order. One scan gives both, so it is written once
-    ranked = table(ranked, "ranked")
-    ordered = table(by(ranked.where("core <> 0")), "ordered")
-    known = Member(ordered.where("core <> 0").select(F.col("core").alias("key")).distinct()).test()
-    single = docs.select("row_key", "text").mapInArrow(lambda it: _singly(it, known), _ROWS)
-    more = by(single).where("core = 0")
-    spans = ranked.where("core = 0").unionByName(ordered.where("core = 0")).unionByName(more)
-    return spans.select("doc", "first", "last")
+    several: list[Known] = []
+    found = []
+    for _ in range(3):
+        have = list(several)
+        ranked = docs.select("row_key", "text").mapInArrow(lambda it, have=have: _level(it, have), _ROWS)
+        ordered = ranked.repartition("core").sortWithinPartitions("core", "context").mapInArrow(_sorted_runs, _ROWS)
+        ordered = table(ordered, "ordered")
+        found.append(ordered.where("span").select("doc", "first", "last"))
+        several.append(Member(ordered.where("not span").select(F.col("core").alias("key")).distinct()).test())
+    return reduce(DataFrame.unionByName, found)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +251,12 @@ def removed(docs: DataFrame) -> DataFrame:
     # at most as many spans as the document has strings
     found = table(spans.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("found")), "spans")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    return rows.join(found, F.col("row_key") == F.col("doc"), "left").select("doc_id", "text", "found").mapInArrow(_cut, schema)
+    # only documents that may have spans are shuffled to them
+    touched = Member(found.select(F.col("doc").alias("key"))).test()
+    may = lambda wanted: rows.mapInArrow(lambda it: (b.filter(pa.array(touched(b["row_key"].to_numpy()) == wanted)) for b in it), rows.schema)
+    met = may(True).join(found, F.col("row_key") == F.col("doc"), "left").select("doc_id", "text", "found")
+    rest = may(False).select("doc_id", "text", F.lit(None).cast(found.schema["found"].dataType).alias("found"))
+    return met.unionByName(rest).mapInArrow(_cut, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
