@@ -1 +1,150 @@
-"""pending"""
+"""Queries whose result depends on an order: layouts, allocation, runs, chains, recovery, series."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from platter.operators.chains import hops
+from platter.operators.ranks import islands, with_rank
+
+from .registry import query, read
+
+
+@query("""
+WITH s AS (SELECT n_regionkey AS image, n_nationkey AS ord, 10 + n_nationkey * 3 AS size FROM nation),
+l AS (SELECT *, 2 + coalesce(sum(size) OVER (PARTITION BY image ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low, lead(ord) OVER (PARTITION BY image ORDER BY ord) IS NULL AS final FROM s)
+SELECT image::BIGINT AS image, ord::BIGINT AS ord, low::BIGINT AS low_cyl, (CASE WHEN final THEN 999 ELSE low + size - 1 END)::BIGINT AS high_cyl, (low * 1008 * 512)::BIGINT AS start_byte,
+  (CASE WHEN final THEN 4294967295 ELSE row_number() OVER (PARTITION BY image ORDER BY ord) + 1 END)::BIGINT AS next_lba FROM l""")
+def partition_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitions follow each other from cylinder 2, the last fills the disk, and each block names the next one."""
+    w = W.partitionBy("image").orderBy("ord")
+    rows = read(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("image"), F.col("n_nationkey").cast("long").alias("ord"), (F.col("n_nationkey") * 3 + 10).cast("long").alias("size"))
+    rows = rows.withColumns({"low": F.coalesce(F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 2, "next": F.lead("ord").over(w), "nr": F.row_number().over(w)})
+    final = F.col("next").isNull()
+    return rows.select("image", "ord", F.col("low").alias("low_cyl"), F.when(final, 999).otherwise(F.col("low") + F.col("size") - 1).alias("high_cyl"), (F.col("low") * (1008 * 512)).alias("start_byte"), F.when(final, F.lit(0xFFFFFFFF)).otherwise(F.col("nr") + 1).cast("long").alias("next_lba"))
+
+
+@query("""
+WITH free AS (SELECT event_id AS block, row_number() OVER (ORDER BY (event_id < 500)::INT, event_id) - 1 AS k FROM events WHERE event_type <> 'error'),
+f AS (SELECT doc_id, 1 + octet_length(encode(text)) // 4096 AS need FROM documents WHERE doc_id < 2000),
+r AS (SELECT doc_id, need, coalesce(sum(need) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM f)
+SELECT doc_id, block::BIGINT AS block, (k - first)::BIGINT AS seq FROM r JOIN free ON k >= first AND k < first + need WHERE first + need <= (SELECT count(*) FROM free)""".replace(" WHERE doc_id < 2000", ""))
+def block_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next-fit from a cursor, wrapped once; a file gets all its blocks or, when the disk is full, none."""
+    events = read(spark, sf_dir, "events").where("event_type <> 'error'").select(F.col("event_id").alias("block"))
+    free = with_rank(events, (F.col("block") < 500).cast("int"), "block", name="k")
+    files = read(spark, sf_dir, "documents").select("doc_id", (1 + F.floor(F.octet_length("text") / 4096)).cast("long").alias("need"))
+    # offsets: sums over ranges of the order, then inside each range
+    ranked = with_rank(files, "doc_id", name="at").withColumn("run", F.floor(F.col("at") / 4096))
+    runs = ranked.groupBy("run").agg(F.sum("need").alias("n"))
+    base = runs.select("run", (F.sum("n").over(W.orderBy("run")) - F.col("n")).alias("base"))
+    inside = F.sum("need").over(W.partitionBy("run").orderBy("at")) - F.col("need")
+    placed = ranked.withColumn("inside", inside).join(F.broadcast(base), "run").withColumn("first", F.col("base") + F.col("inside"))
+    total = free.agg(F.count("*").alias("total"))
+    fits = placed.crossJoin(F.broadcast(total)).where("first + need <= total")
+    each = fits.select("doc_id", F.posexplode(F.expr("sequence(first, first + need - 1)")).alias("seq", "k"))
+    return each.join(free, "k").select("doc_id", "block", F.col("seq").cast("long").alias("seq"))
+
+
+_RUNS = "(SELECT l_suppkey % 10 AS s, l_orderkey AS b FROM lineitem GROUP BY 1, 2)"
+
+
+@query(f"SELECT s::BIGINT AS s, min(b)::BIGINT AS first, max(b)::BIGINT AS last, count(*)::BIGINT AS n FROM (SELECT s, b, b - row_number() OVER (PARTITION BY s ORDER BY b) AS r FROM {_RUNS} x) GROUP BY s, r")
+def extent_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring blocks become one extent."""
+    rows = read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("s"), F.col("l_orderkey").alias("b")).distinct()
+    return islands(rows, ["s"], "b")
+
+
+@query(f"""
+WITH i AS (SELECT s, min(b) AS first, count(*) AS n FROM (SELECT s, b, b - row_number() OVER (PARTITION BY s ORDER BY b) AS r FROM {_RUNS} x) GROUP BY s, r)
+SELECT s::BIGINT AS s, want::BIGINT AS want, min(first)::BIGINT AS first FROM i, (SELECT unnest([2, 3, 5]) AS want) w WHERE n >= want GROUP BY s, want""")
+def free_run_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first run that holds so many slots."""
+    runs = extent_coalesce(spark, sf_dir).select("s", "first", "n", F.explode(F.array(*(F.lit(k).cast("long") for k in (2, 3, 5)))).alias("want"))
+    return runs.where("n >= want").groupBy("s", "want").agg(F.min("first").alias("first"))
+
+
+_NEXT = "(SELECT o_custkey AS dir, o_orderkey AS node, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nr FROM orders)"
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = W.partitionBy("dir").orderBy("o_orderdate", "node")
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("dir"), F.col("o_orderkey").alias("node"), "o_orderdate")
+    return rows.select("dir", "node", F.lead("node").over(w).alias("next"), F.row_number().over(w).alias("nr"))
+
+
+@query(f"SELECT dir, node, (nr - 1)::BIGINT AS hop FROM {_NEXT} x")
+def dir_entry_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked lists followed from their heads; positions come from pointer doubling, in log n joins."""
+    links = _links(spark, sf_dir)
+    return hops(links.select("node", "next")).join(links.select("dir", "node"), "node").select("dir", "node", "hop")
+
+
+@query(f"""
+WITH RECURSIVE c AS (SELECT dir, node, next, nr FROM {_NEXT} x), good AS (SELECT dir, node, CASE WHEN nr % 9 = 5 THEN NULL ELSE next END AS next, nr FROM c),
+r(dir, node, next) AS (SELECT dir, node, next FROM good WHERE nr = 1 UNION ALL SELECT g.dir, g.node, g.next FROM r JOIN good g ON g.node = r.next)
+SELECT dir, count(*)::BIGINT AS n_lost, min(node)::BIGINT AS first_lost FROM good WHERE node NOT IN (SELECT node FROM r) GROUP BY dir""")
+def reachability_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks marked in use that no list reaches any more, where some lists are broken."""
+    links = _links(spark, sf_dir)
+    broken = links.select("dir", "node", F.when(F.col("nr") % 9 == 5, None).otherwise(F.col("next")).alias("next"), "nr")
+    heads = broken.where("nr = 1").select(F.col("node").alias("head"))
+    reached = hops(broken.select("node", "next")).join(heads, F.col("root") == F.col("head"), "left_semi").select("node")
+    return broken.join(reached, "node", "left_anti").groupBy("dir").agg(F.count("*").alias("n_lost"), F.min("node").alias("first_lost"))
+
+
+@query("""
+SELECT user_id, event_id, value_ok FROM (SELECT user_id % 1760 AS user_id, event_id, event_type AS value_ok, row_number() OVER (PARTITION BY user_id % 1760 ORDER BY ts, event_id) AS r FROM events WHERE event_type <> 'error') WHERE r = 1""")
+def first_valid_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all readings of a sector, the first valid one; a minimum with partial sums, not a sort of each sector."""
+    rows = read(spark, sf_dir, "events").where("event_type <> 'error'").select((F.col("user_id") % 1760).alias("user_id"), F.struct("ts", "event_id", "event_type").alias("x"))
+    return rows.groupBy("user_id").agg(F.min("x").alias("x")).select("user_id", "x.event_id", F.col("x.event_type").alias("value_ok"))
+
+
+@query("""
+WITH g AS (SELECT unnest(range(160)) AS track), f AS (SELECT DISTINCT (user_id % 1760) // 11 AS track, (user_id % 1760) % 11 AS sector FROM events WHERE event_type = 'purchase')
+SELECT g.track::BIGINT AS track, count(f.sector)::BIGINT AS found, (11 - count(f.sector))::BIGINT AS missing, count(f.sector) = 11 AS complete FROM g LEFT JOIN f ON f.track = g.track GROUP BY g.track""")
+def track_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sectors found and missing of every track of a disk."""
+    s = F.col("user_id") % 1760
+    found = read(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.floor(s / 11).cast("long").alias("track"), (s % 11).alias("sector")).distinct().groupBy("track").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    return spark.range(160).withColumnRenamed("id", "track").join(found, "track", "left").select("track", n.alias("found"), (F.lit(11).cast("long") - n).alias("missing"), (n == 11).alias("complete"))
+
+
+@query("""
+WITH v AS (SELECT user_id % 40 AS track, event_id, 1 + (event_id * 7919) % 9973 AS ticks FROM events),
+c AS (SELECT track, event_id, ticks, sum(ticks) OVER (PARTITION BY track ORDER BY event_id) AS upto FROM v)
+SELECT track, (upto // 200000)::BIGINT AS revolution, count(*)::BIGINT AS n, sum(ticks)::BIGINT AS ticks, min(event_id)::BIGINT AS first_id FROM c GROUP BY track, upto // 200000""")
+def split_revolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A series of intervals cut at index pulses that come at equal times; a sample belongs to the revolution it ends in."""
+    rows = read(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("track"), "event_id", (1 + (F.col("event_id") * 7919) % 9973).alias("ticks"))
+    upto = F.sum("ticks").over(W.partitionBy("track").orderBy("event_id"))
+    return rows.withColumn("upto", upto).groupBy("track", F.floor(F.col("upto") / 200000).alias("revolution")).agg(F.count("*").alias("n"), F.sum("ticks").alias("ticks"), F.min("event_id").alias("first_id"))
+
+
+@query("""
+WITH w AS (SELECT l_suppkey AS track, l_orderkey * 8 + l_linenumber AS at, CASE WHEN (l_partkey + l_linenumber) % 4 = 0 THEN 0 ELSE l_partkey % 65536 END AS word FROM lineitem),
+g AS (SELECT *, coalesce(sum((word <> 0)::INT) OVER (PARTITION BY track ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM w)
+SELECT track, max(at)::BIGINT AS at, sum(CASE WHEN word = 0 THEN 65536 ELSE word END)::BIGINT AS ticks FROM g GROUP BY track, island HAVING bool_or(word <> 0)""")
+def overflow_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word of zero adds 65536 to the interval that follows."""
+    word = F.when((F.col("l_partkey") + F.col("l_linenumber")) % 4 == 0, 0).otherwise(F.col("l_partkey") % 65536)
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("track"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"), word.alias("word"))
+    island = F.sum((F.col("word") != 0).cast("int")).over(W.partitionBy("track").orderBy("at").rowsBetween(W.unboundedPreceding, -1))
+    ticks = F.when(F.col("word") == 0, 65536).otherwise(F.col("word"))
+    out = rows.withColumn("island", F.coalesce(island, F.lit(0))).groupBy("track", "island").agg(F.max("at").alias("at"), F.sum(ticks).alias("ticks"), F.max("word").alias("w"))
+    return out.where("w <> 0").select("track", "at", "ticks")
+
+
+@query("""
+WITH e AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS r FROM documents)
+SELECT source, doc_id, ((r - 1) % 31)::BIGINT AS slot FROM e WHERE r <= 62""")
+def deleted_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest deleted files of a volume go round the 31 slots of a ring; two rounds are listed."""
+    w = W.partitionBy("source").orderBy(F.col("doc_id").desc())
+    rows = read(spark, sf_dir, "documents").select("source", "doc_id", F.row_number().over(w).alias("r"))
+    return rows.where("r <= 62").select("source", "doc_id", ((F.col("r") - 1) % 31).cast("long").alias("slot"))

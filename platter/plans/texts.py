@@ -42,10 +42,10 @@ def insert_before_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT conv_id, turn, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '(?i)\b([a-z])([a-z]+)\b', '\2-\1', 'g')), chr(10))) AS digest FROM conversations""")
+SELECT conv_id, turn, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '(?i)([a-z])([a-z]+)', '\2-\1', 'g')), chr(10))) AS digest FROM conversations""")
 def regex_replace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """groups swapped on every line."""
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(texts.regex_replace_lines(F.col("text"), r"\b([a-z])([a-z]+)\b", "{2}-{1}", ignore_case=True)).alias("digest"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(texts.regex_replace_lines(F.col("text"), r"([a-z])([a-z]+)", "{2}-{1}", ignore_case=True)).alias("digest"))
 
 
 _BYTES = "(SELECT 'doc' AS kind, doc_id AS id, encode(text) AS b FROM documents UNION ALL SELECT 'page', page_id, encode(html) FROM pages UNION ALL SELECT 'made', e, encode('a' || repeat(chr(1 + (e % 5)::INT), (e % 9)::INT) || repeat('b', (e % 40)::INT)) FROM (SELECT event_id AS e FROM events))"
