@@ -42,7 +42,7 @@ SMALL, FROM = 15, 12
 #: A token is frequent from FREQUENT sets on; the class holds MOST_FREQUENT tokens at most (8 bytes each), the most frequent.
 FREQUENT, MOST_FREQUENT = 12, 2_000_000
 #: Tokens that a counting run holds.
-RUN = 1_000_000
+RUN = 3_000_000
 #: Members that meet their centre in one task, and parts of a bucket of frequent tokens.
 MEMBERS, PARTS = 2048, 16
 #: Rounds in which outsiders of large buckets meet single members of the largest component, and how many pairs a row of an
@@ -96,8 +96,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     many = 0
 
     def counts() -> pa.RecordBatch:
-        token, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        token, n = token[n > 1].view(np.int64), n[n > 1]
+        every = np.concatenate(held) if held else np.zeros(0, np.uint64)
+        held.clear()
+        every.sort()  # in place: this is the largest array of a worker
+        same = np.flatnonzero(every[1:] == every[:-1])
+        token, n = np.unique(every[same], return_counts=True)
+        token, n = token.view(np.int64), n + 1
         return _rows(1, pa.nulls(len(n), pa.int64()), token, token, n, [None] * len(n))
 
     for batch in batches:
