@@ -127,9 +127,9 @@ def split_revolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT l_suppkey AS track, l_orderkey * 8 + l_linenumber AS at, CASE WHEN (l_partkey + l_linenumber) % 4 = 0 THEN 0 ELSE l_partkey % 65536 END AS word FROM lineitem),
-g AS (SELECT *, coalesce(sum((word <> 0)::INT) OVER (PARTITION BY track ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM w)
-SELECT track, max(at)::BIGINT AS at, sum(CASE WHEN word = 0 THEN 65536 ELSE word END)::BIGINT AS ticks FROM g GROUP BY track, island HAVING bool_or(word <> 0)""")
+WITH w AS (SELECT l_suppkey AS track, l_orderkey * 8 + l_linenumber AS pos, CASE WHEN (l_partkey + l_linenumber) % 4 = 0 THEN 0 ELSE l_partkey % 65536 END AS word FROM lineitem),
+g AS (SELECT *, coalesce(sum((word <> 0)::INT) OVER (PARTITION BY track ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM w)
+SELECT track, max(at)::BIGINT AS pos, sum(CASE WHEN word = 0 THEN 65536 ELSE word END)::BIGINT AS ticks FROM g GROUP BY track, island HAVING bool_or(word <> 0)""")
 def overflow_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A word of zero adds 65536 to the interval that follows."""
     word = F.when((F.col("l_partkey") + F.col("l_linenumber")) % 4 == 0, 0).otherwise(F.col("l_partkey") % 65536)
