@@ -20,8 +20,8 @@ class BlockSource(DataSource):
     """spark.dataSource.register(BlockSource); spark.read.format("diskblocks").option("path", p).load()
 
     Options: path (one or more, separated by commas; any that pyarrow opens), block_size (512), blocks_per_task (65536). A last
-    part shorter than a block is a block of its own. Filters on lba prune ranges where spark.sql.python.filterPushdown.enabled
-    is set; Spark applies them again, so results do not depend on it."""
+    part shorter than a block is a block of its own. pushdown (false): filters on lba prune ranges, which needs
+    spark.sql.python.filterPushdown.enabled; Spark applies them again, so results do not depend on it."""
 
     @classmethod
     def name(cls) -> str:
@@ -31,7 +31,7 @@ class BlockSource(DataSource):
         return "image string, lba bigint, data binary"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return BlockReader(self.options)
+        return (PushingBlockReader if self.options.get("pushdown", "false").lower() == "true" else BlockReader)(self.options)
 
 
 class BlockReader(DataSourceReader):
@@ -40,17 +40,6 @@ class BlockReader(DataSourceReader):
         self.size, self.per = int(options.get("block_size", 512)), int(options.get("blocks_per_task", 65_536))
         self.low, self.high = 0, None
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if getattr(f, "attribute", None) == ("lba",) and isinstance(f.value, int):
-                if isinstance(f, EqualTo):
-                    self.low, self.high = max(self.low, f.value), f.value + 1
-                elif isinstance(f, GreaterThanOrEqual):
-                    self.low = max(self.low, f.value)
-                elif isinstance(f, LessThan):
-                    self.high = f.value if self.high is None else min(self.high, f.value)
-            yield f  # Spark checks all of them again
-
     def partitions(self) -> Sequence[InputPartition]:
         out = []
         for p in self.paths:
@@ -68,3 +57,16 @@ class BlockReader(DataSourceReader):
                 raw = f.read_at((end - first) * self.size, first * self.size)
                 data = [raw[i : i + self.size] for i in range(0, len(raw), self.size)]
                 yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(data)), pa.array(range(first, first + len(data)), pa.int64()), pa.array(data, pa.binary())], ["image", "lba", "data"])
+
+
+class PushingBlockReader(BlockReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if getattr(f, "attribute", None) == ("lba",) and isinstance(getattr(f, "value", None), int):
+                if isinstance(f, EqualTo):
+                    self.low, self.high = max(self.low, f.value), f.value + 1
+                elif isinstance(f, GreaterThanOrEqual):
+                    self.low = max(self.low, f.value)
+                elif isinstance(f, LessThan):
+                    self.high = f.value if self.high is None else min(self.high, f.value)
+            yield f  # Spark checks all of them again
