@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy pass holds; a longer document makes a pass of its own.
 CHUNK_BYTES = 500_000
@@ -60,12 +62,33 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of about 4 MB, so that runs of very long texts don't fill a worker."""
-    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20), ("spark.sql.execution.arrow.maxRecordsPerBatch", 2048)):
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of about `most` bytes, so that runs of very long texts don't fill a worker."""
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", most), ("spark.sql.execution.arrow.maxRecordsPerBatch", most >> 11)):
         spark.conf.set(key, value)
 
 
+def _give_back() -> None:
+    """Returns what a finished task has freed to the machine; workers stay for other tasks, and several wait at a time."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def arrow(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> Callable[[DataFrame], DataFrame]:
+    """For DataFrame.transform: f over the Arrow batches of each partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            _give_back()
+
+    return lambda df: df.mapInArrow(run, schema)
+
+
 def flat(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in a row, and where each starts (one more at the end). A null is an empty text."""
     arr = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts

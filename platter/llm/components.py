@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, mixed, table
+from .common import arrow, drop_table, mixed, table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ class Member:
     def __init__(self, keys: DataFrame):
         """keys: one long column `key`."""
         spark = keys.sparkSession
-        words = keys.mapInArrow(_bits, "word bigint, w bigint").groupBy("word").agg(F.bit_or("w").alias("w"))
+        words = keys.transform(arrow(_bits, "word bigint, w bigint")).groupBy("word").agg(F.bit_or("w").alias("w"))
         found = words.toArrow()  # at most FILTER_BITS / 64 rows
         full = np.zeros(FILTER_BITS // 64, np.int64)
         full[found["word"].to_numpy()] = found["w"].to_numpy()
@@ -84,4 +84,4 @@ class Member:
             for b in batches:
                 yield b.filter(pa.array(known(b[key].to_numpy())))
 
-        return rows.mapInArrow(keep, rows.schema)
+        return rows.transform(arrow(keep, rows.schema))

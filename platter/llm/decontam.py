@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, bounded_batches, chunks, flat, mixed, table, word_spans
+from .common import Rolling, arrow, bounded_batches, chunks, flat, mixed, table, word_spans
 
 RATE, MIN_PIECE, MIN_ITEM = 0.15, 4, 5
 #: Items of one block.
@@ -184,7 +184,7 @@ def _block(rows: DataFrame, items: list) -> DataFrame:
                 at, item, first, n, edits = (pa.array(c, pa.int64()) for c in zip(*got, strict=True))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].take(at), item, first, n, edits], ["doc_id", "item_id", "first_word", "n_words", "edits"])
 
-    return rows.mapInArrow(run, "doc_id bigint, item_id bigint, first_word bigint, n_words bigint, edits bigint")
+    return rows.transform(arrow(run, "doc_id bigint, item_id bigint, first_word bigint, n_words bigint, edits bigint"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_PATTERN, bounded_batches, flat, table, word_spans
+from .common import WORD_PATTERN, arrow, bounded_batches, flat, table, word_spans
 
 WEIGHTS = (5.0, 2.0, 1.0)
 VOLUME, MOST_REPEATS = 1.5, 2.0
@@ -186,7 +186,7 @@ def _instances(facts: DataFrame, planned: list[dict], seed: int) -> DataFrame:
     blocks = facts.where("n_blocks > 0")
     spread = blocks.select("code", "n_blocks", "source_size", "instances", "tail", F.explode(F.expr(f"sequence(0L, (n_blocks - 1) div {BLOCK_RUN})")).alias("run")).repartition("code", "run")
     spread = spread.select("code", "n_blocks", "source_size", "instances", "tail", F.explode(F.expr(f"sequence(run * {BLOCK_RUN}, least(n_blocks, (run + 1) * {BLOCK_RUN}) - 1)")).alias("block"))
-    placed = spread.mapInArrow(place, "code int, block bigint, copy int, shard int, start bigint, end bigint")
+    placed = spread.transform(arrow(place, "code int, block bigint, copy int, shard int, start bigint, end bigint"))
     return placed.withColumn("order", F.xxhash64(F.lit(seed), "code", "block", "copy"))
 
 
@@ -254,11 +254,13 @@ def mixed_texts(docs: DataFrame, seed: int = 20240607) -> DataFrame:
     """The mix as documents with the columns of docs: a row for each run of words that it takes of a document in one copy, the
     whole text where the run is the whole document, with n_chars, if there is one, of the text as it is then."""
     bounded_batches(docs.sparkSession)
+    # numbering equal rows deals the texts by h; the join by (h, twin) may then stay on that
+    docs.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     documents, blocks = mix(docs, seed)
     taken = spans(documents, blocks).groupBy("h", "twin").agg(F.collect_list(F.struct("copy", "first", "stop")).alias("found"))
     twin = F.row_number().over(W.partitionBy("h").orderBy("h")) - 1
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text", F.col("doc_id").cast("long").alias("doc_id"), "source").withColumn("h", order_key(seed)).withColumn("twin", twin)
-    met = rows.join(taken, ["h", "twin"]).select("row", "text", "found")
-    out = met.mapInArrow(_pieces, T.StructType([T.StructField("row", met.schema["row"].dataType), T.StructField("text", T.StringType())]))
+    met = rows.join(taken.hint("merge"), ["h", "twin"]).select("row", "text", "found")
+    out = met.transform(arrow(_pieces, T.StructType([T.StructField("row", met.schema["row"].dataType), T.StructField("text", T.StringType())])))
     changed = {"text": F.col("text"), "n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return out.select(*((changed[c] if changed.get(c) is not None else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, bounded_batches, chunks, drop_table, flat, mixed, table, word_spans
+from .common import Rolling, arrow, bounded_batches, chunks, drop_table, flat, mixed, table, word_spans
 from .components import Member, components
 
 SHINGLE = 5
@@ -150,7 +150,7 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) that their bitmaps don't rule out. nodes: node, n, bits."""
     own = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
-    return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_plausible, "a bigint, b bigint")
+    return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b").transform(arrow(_plausible, "a bigint, b bigint"))
 
 
 def _rows(kind: int, ids: pa.Array, key: np.ndarray, node: np.ndarray, n: np.ndarray, bits: list) -> pa.RecordBatch:
@@ -259,7 +259,7 @@ def index(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
                 part = np.where(hot, 1 + (node & (PARTS - 1)), 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(part), pa.array(node), pa.array(n), pa.array(late)], ["sig", "part", "node", "n", "late"])
 
-    return docs.select("text").mapInArrow(run, "sig bigint, part int, node bigint, n int, late int")
+    return docs.select("text").transform(arrow(run, "sig bigint, part int, node bigint, n int, late int"))
 
 
 def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +297,7 @@ _STAR = "sig bigint, part int, node bigint, n int, late int, centre bigint, cn i
 
 
 def stars(rows: DataFrame) -> DataFrame:
-    return rows.repartition("sig", "part").sortWithinPartitions("sig", "part", "late", "node").mapInArrow(_starred, _STAR)
+    return rows.repartition("sig", "part").sortWithinPartitions("sig", "part", "late", "node").transform(arrow(_starred, _STAR))
 
 
 def _common(na: str, nb: str) -> str:
@@ -321,9 +321,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = members.unionByName(centres).groupBy("node").agg(F.collect_list(F.struct("a", "slot")).alias("at")).join(nodes, "node")
     wanted = table(wanted, "wanted")
     texts = Member(wanted.select(F.col("row_key").alias("key"))).sift(docs.select("row_key", "text"), "row_key")
-    sets = texts.join(wanted, "row_key").select("node", "text", "at").mapInArrow(_spread, "a bigint, slot int, member boolean, node bigint, tokens binary")
+    sets = texts.join(wanted.hint("merge"), "row_key").select("node", "text", "at").transform(arrow(_spread, "a bigint, slot int, member boolean, node bigint, tokens binary"))
     met = sets.repartition("a", "slot").sortWithinPartitions("a", "slot", "member")
-    return met.mapInArrow(_compared, "a bigint, b bigint").distinct()
+    return met.transform(arrow(_compared, "a bigint, b bigint")).distinct()
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +379,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, n_shingles, node, and group: the node's component (null for an empty set)."""
     bounded_batches(docs.sparkSession)
     docs = keyed(docs)
-    read = table(docs.mapInArrow(_read, "kind int, doc_id bigint, row_key bigint, node bigint, n bigint, bits binary"), "sets")
+    read = table(docs.transform(arrow(_read, "kind int, doc_id bigint, row_key bigint, node bigint, n bigint, bits binary")), "sets")
     own = read.where("kind = 0")
     buckets = index(docs, *frequent(read.where("kind = 1")))
     first = table(stars(buckets), "buckets")

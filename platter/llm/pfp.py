@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, bounded_batches, chunks, flat, mixed, table
+from .common import Rolling, arrow, bounded_batches, chunks, flat, mixed, table
 from .components import Member
 
 LENGTH, WINDOW, EVERY, REACH, BLOCK = 400, 12, 40, 272, 8
@@ -211,8 +211,8 @@ def starts(docs: DataFrame) -> DataFrame:
     found = []
     for _ in range(3):
         have = list(several)
-        ranked = docs.select("row_key", "text").mapInArrow(lambda it, have=have: _level(it, have), _ROWS)
-        ordered = ranked.repartition("core").sortWithinPartitions("core", "context").mapInArrow(_sorted_runs, _ROWS)
+        ranked = docs.select("row_key", "text").transform(arrow(lambda it, have=have: _level(it, have), _ROWS))
+        ordered = ranked.repartition("core").sortWithinPartitions("core", "context").transform(arrow(_sorted_runs, _ROWS))
         ordered = table(ordered, "ordered")
         found.append(ordered.where("span").select("doc", "first", "last"))
         several.append(Member(ordered.where("not span").select(F.col("core").alias("key")).distinct()).test())
@@ -253,10 +253,10 @@ def removed(docs: DataFrame) -> DataFrame:
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     # only documents that may have spans are shuffled to them
     touched = Member(found.select(F.col("doc").alias("key"))).test()
-    may = lambda wanted: rows.mapInArrow(lambda it: (b.filter(pa.array(touched(b["row_key"].to_numpy()) == wanted)) for b in it), rows.schema)
-    met = may(True).join(found, F.col("row_key") == F.col("doc"), "left").select("doc_id", "text", "found")
+    may = lambda wanted: rows.transform(arrow(lambda it: (b.filter(pa.array(touched(b["row_key"].to_numpy()) == wanted)) for b in it), rows.schema))
+    met = may(True).join(found.hint("merge"), F.col("row_key") == F.col("doc"), "left").select("doc_id", "text", "found")
     rest = may(False).select("doc_id", "text", F.lit(None).cast(found.schema["found"].dataType).alias("found"))
-    return met.unionByName(rest).mapInArrow(_cut, schema)
+    return met.unionByName(rest).transform(arrow(_cut, schema))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, IS_SPACE, LOWER, bounded_batches, chunks, flat, new_folder, table
+from .common import IS_SPACE, LOWER, arrow, bounded_batches, chunks, flat, new_folder, table
 
 END_ID = 1
 SHARD_TOKENS, STEP = 1 << 20, 4096
@@ -42,6 +42,8 @@ SHARE, FEWEST = 1 / 8192, 32
 LEAST_GAIN = 0.02
 #: Words that a worker keeps, and how many words one call encodes.
 MOST_WORDS, JOINED = 800_000, 128
+#: Bytes that one call encodes: the more, the fewer words are looked up again.
+PIECE_BYTES = 8_000_000
 MAGIC = b"RePair01"
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -282,7 +284,7 @@ def _written(folder: str, tokenizer: str, shard_tokens: int):
             data, offsets = flat(b["text"])
             own = b["doc_id"]
             doc_ids, null = own.fill_null(0).to_numpy(zero_copy_only=False), own.is_null().to_numpy(zero_copy_only=False)
-            for i, j in chunks(offsets, 4 * CHUNK_BYTES):
+            for i, j in chunks(offsets, PIECE_BYTES):
                 ids, counts = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 held.append((doc_ids[i:j], null[i:j], counts, ids))
                 many += len(ids)
@@ -296,10 +298,12 @@ def _written(folder: str, tokenizer: str, shard_tokens: int):
 
 def write(docs: DataFrame, folder: str, tokenizer: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Writes the files and returns their list: part, k, name, n_docs, n_ids; (part, k) is the order of the documents."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 2 * PIECE_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    return table(ordered.mapInArrow(_written(folder, tokenizer, shard_tokens), "part int, k int, name string, n_docs bigint, n_ids bigint"), "files")
+    files = table(ordered.transform(arrow(_written(folder, tokenizer, shard_tokens), "part int, k int, name string, n_docs bigint, n_ids bigint")), "files")
+    bounded_batches(docs.sparkSession)
+    return files
 
 
 def placed(files: DataFrame) -> DataFrame:
@@ -330,4 +334,4 @@ def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Writes all documents, reads the files back, and gives each document's place, count and checksum from them."""
     files = write(docs, folder := new_folder(docs.sparkSession, "tokens"), tokenizer)
     n = files.count()
-    return placed(files).select("name", "start").repartition(max(n, 1)).mapInArrow(_digests(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return placed(files).select("name", "start").repartition(max(n, 1)).transform(arrow(_digests(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"))

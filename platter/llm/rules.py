@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, bounded_batches, chunks, flat, mixed, per_doc, twice, word_spans
+from .common import Rolling, arrow, bounded_batches, chunks, flat, mixed, per_doc, twice, word_spans
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -117,7 +117,7 @@ def ledger(docs: DataFrame, carry: Sequence[str] = ("doc_id",), inside: str | No
     keep = list(carry)
     own = docs.select(*keep, *(["text"] if "text" not in keep and not inside else []))
     schema = ", ".join([*(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in keep), *(f"{m} bigint" for m in MEASURES)])
-    rows = own.mapInArrow(lambda it: _measured(it, keep, inside), schema)
+    rows = own.transform(arrow(lambda it: _measured(it, keep, inside), schema))
     bits = F.lit(0).cast("long")
     for r in RULES:
         bits = bits + F.when(F.expr(r.failed), F.lit(1 << r.bit).cast("long")).otherwise(F.lit(0).cast("long"))

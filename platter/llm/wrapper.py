@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import arrow, bounded_batches, table
 
 #: Fixed sets of HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -461,13 +461,13 @@ def _induced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, pages, wrapper: what each host's alignment says, and that of all hosts under a null host."""
-    parts = table(pages.select("host", "html").mapInArrow(_partial, "host string, tree string"), "trees")
-    by = lambda df: df.repartition("host").sortWithinPartitions("host").mapInArrow(_folded, "host string, tree string")
+    parts = table(pages.select("host", "html").transform(arrow(_partial, "host string, tree string")), "trees")
+    by = lambda df: df.repartition("host").sortWithinPartitions("host").transform(arrow(_folded, "host string, tree string"))
     hosts = table(by(parts), "hosts")
     # the wrapper of all hosts: folded in a few groups, then the groups
     groups = by(hosts.select(F.concat(F.lit("g"), F.pmod(F.xxhash64("host"), F.lit(64))).alias("host"), "tree"))
     every = by(groups.select(F.lit("all").alias("host"), "tree")).select(F.lit(None).cast("string").alias("host"), "tree")
-    return hosts.unionByName(every).mapInArrow(_induced, "host string, pages bigint, wrapper string")
+    return hosts.unionByName(every).transform(arrow(_induced, "host string, pages bigint, wrapper string"))
 
 
 def _texts(shared: str | None):
@@ -494,4 +494,4 @@ def main_text(pages: DataFrame) -> DataFrame:
     every = found.where("host is null").first()
     own = found.where("host is not null and pages > 1").select("host", "wrapper")
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint"
-    return rows.join(own, "host", "left").select("page_id", "url", "html", "wrapper").mapInArrow(_texts(every["wrapper"] if every else None), schema)
+    return rows.join(own, "host", "left").select("page_id", "url", "html", "wrapper").transform(arrow(_texts(every["wrapper"] if every else None), schema))
