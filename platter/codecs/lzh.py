@@ -77,14 +77,14 @@ def expand(raw: bytes, size: int, method: str = "-lh5-") -> bytes:
     return bytes(out[start:end])
 
 
-def _matches(raw: bytes, window: int, chain: int = 32) -> Iterator[tuple[int, int]]:
+def _matches(raw: bytes, window: int, chain: int = 32, longest: int = LONGEST) -> Iterator[tuple[int, int]]:
     """(literal, 0) or (length, distance), greedily: the longest match among the latest places of the same three bytes."""
     seen: dict[bytes, deque[int]] = {}
     i, n = 0, len(raw)
     while i < n:
         best, back = 0, 0
         if i + SHORTEST <= n:
-            most = min(LONGEST, n - i)
+            most = min(longest, n - i)
             for j in reversed(seen.get(raw[i : i + 3], ())):
                 if i - j > window:
                     break
@@ -241,6 +241,10 @@ def decode(method: str, raw: bytes, size: int) -> bytes:
         return raw[:size]
     if method in METHODS:
         return expand(raw, size, method)
+    if method == "-lh1-":
+        from .lzhuf import expand as adaptive
+
+        return adaptive(raw, size)
     if method in ("-lzs-", "-lz5-"):
         return larc(raw, size, method)
     raise ValueError(f"method {method} is not supported")

@@ -9,12 +9,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from platter.codecs import lzh, mfm, pictures, zips
-from platter.functions import checksums, dates, names, texts
+from platter.codecs import icons, lzh, lzhuf, mfm, pictures, zips
+from platter.functions import checksums, dates, names, texts, tooling
 from platter.operators import chains, images, ranks
 from platter.parse import fat, ffs, iso, partitions
 from platter.sources import containers
 from platter.sources.blocks import BlockSource
+from platter.streaming import captures
 
 
 def test_name_hashes(spark):
@@ -245,3 +246,45 @@ def test_ranks_and_chains(spark):
     links = spark.createDataFrame([*((i, i + 1 if i < 299 else None) for i in range(300)), (500, 501), (501, 500), (900, None)], "node long, next long")
     got = {r.node: (r.root, r.hop) for r in chains.hops(links).collect()}
     assert got == {**{i: (0, i) for i in range(300)}, 900: (900, 0)}
+
+
+@pytest.mark.parametrize("content", [b"", b"a", b"abc" * 3000, bytes(random.Random(4).randrange(256) for _ in range(60_000)), b"adaptive trees count up and are rebuilt " * 2000])
+def test_adaptive_codes(content):
+    assert lzhuf.expand(lzhuf.pack(content), len(content)) == content
+    assert lzh.decode("-lh1-", lzhuf.pack(content), len(content)) == content
+
+
+def test_icons():
+    image = struct.pack(">hhhhhIBBI", 0, 0, 20, 3, 2, 1, 0, 0, 0) + bytes(range(24))
+    raw = icons.write(icons.Icon(4, 8192, 10, None, "SYS:Tool", ["A=1", "DONOTWAIT"], b"d" * 56, [(20, 3, 2, image)]))
+    icon = icons.read(raw)
+    assert (icon.kind_name, icon.stack, icon.x, icon.y, icon.default_tool, icon.tool_types) == ("project", 8192, 10, None, "SYS:Tool", ["A=1", "DONOTWAIT"])
+    assert icons.write(icon) == raw and icons.picture(icon).shape == (3, 20, 4)
+    new = icons.read(icons.changed(raw, stack=99, tool_types=["X"], default_tool="Work:Other", kind=3))
+    assert (new.stack, new.tool_types, new.default_tool, new.kind_name, new.images) == (99, ["X"], "Work:Other", "tool", icon.images)
+    with pytest.raises(ValueError):
+        icons.read(b"x" * 100)
+
+
+def test_tools(spark):
+    rows = [("DH0:dos3", 0x444F5303, 0, 512), ("DH0:PDS3:100:1:-5:1024", 0x50445303, 100, 1024), ("DH0:0x444F5307:5", 0x444F5307, 5, 512), ("DH0:dos3:1:0:0:1000", None, None, None), (":dos3", None, None, None), ("DH0", None, None, None), ("DH0:what", None, None, None)]
+    got = spark.createDataFrame(rows, "t string, a long, b long, c long").select("*", tooling.partition_spec(F.col("t")).alias("s")).collect()
+    for r in got:
+        assert (r.s.dos_type, r.s.cylinders, r.s.block_size) == (r.a, r.b, r.c) if r.a else r.s is None
+    one = spark.createDataFrame([("$VER: FFS 47.4 (1.1.99)", "é\u0041b\u3042")], "v string, n string").select(tooling.version_of(F.col("v")).alias("v"), tooling.ascii_name(F.col("n")).alias("n")).first()
+    assert (one.v, one.n) == (0x002F0004, "eAb")
+    sizes = spark.createDataFrame([(5_925_814_272,), (901_120,)], "s long").select(tooling.size_label(F.col("s")).alias("x")).collect()
+    assert [r.x for r in sizes] == ["5.5 GB", "1 MB"]
+
+
+def test_stream_of_captures(spark, tmp_path):
+    rows = [("d", 0, s, a, a > 0, bytes([s, a]), f"2024-01-01 00:0{a}:00") for s in range(11) for a in range(3)]
+    for a in range(3):
+        df = spark.createDataFrame([r for r in rows if r[3] == a], "disk string, track int, sector int, attempt int, valid boolean, data binary, t string")
+        df.select("disk", "track", "sector", "attempt", "valid", "data", F.to_timestamp("t").alias("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    kept = captures.recovered(captures.arriving(spark, str(tmp_path / "in"), 1))
+    q = kept.writeStream.format("memory").queryName("kept_sectors").option("checkpointLocation", str(tmp_path / "state")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table("kept_sectors").collect()
+    assert len(got) == 11 and {r.sector for r in got} == set(range(11)) and all(r.valid for r in got)
