@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from platter.codecs import lzh
-from platter.parse import fat, ffs
+from platter.parse import fat, ffs, pfs
 
 IMAGE = T.StructType([T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType())])
 
@@ -43,6 +43,15 @@ def amiga_images(files: DataFrame, dos_type: int = 0x444F5303) -> DataFrame:
     return _written(files, ".adf", lambda name, rows: amiga_image(name, rows, dos_type))
 
 
+def pfs_image(name: str, rows: list[tuple[str, bytes]]) -> bytes:
+    need = sum(1 + len(c) // 512 for _, c in rows) + len(rows) * 2 + 512
+    return pfs.write(pfs.Volume(name, need + need // 8, [pfs.Entry(p, False, c) for p, c in rows]))
+
+
+def pfs_images(files: DataFrame) -> DataFrame:
+    return _written(files, ".hdf", pfs_image)
+
+
 def fat_images(files: DataFrame) -> DataFrame:
     return _written(files, ".img", fat_image)
 

@@ -1,4 +1,4 @@
-"""Amiga volumes: DOS\\0 to DOS\\5, blocks of 512 bytes and more. A volume is read into entries, and written whole from entries, so
+"""Amiga volumes: DOS\\0 to DOS\\7, blocks of 512 bytes and more. A volume is read into entries, and written whole from entries, so
 a change is a new snapshot. (S17 to S21, P01, P19, W11, W12, M01 to M10, F59, A02 to A04)"""
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ END = 0xFFFFFFFF
 HEADER, LIST, DATA = 2, 16, 8
 ROOT, FOLDER, FILE = 1, 2, -3
 LONG_NAMES = (0x444F5306, 0x444F5307)
-MAX_NAME, MAX_COMMENT = 30, 79
+MAX_NAME, MAX_LONG_NAME, MAX_COMMENT = 30, 109, 79
 
 
 @dataclass
@@ -73,8 +73,7 @@ def read(raw: bytes, dos_type: int | None = None, block_size: int = 512, reserve
     kind = struct.unpack_from(">I", raw, 0)[0] if dos_type is None else dos_type
     if raw[:3] != b"DOS":
         raise ValueError("no boot block of such a volume")
-    if kind in LONG_NAMES:
-        raise ValueError("volumes with long names are not supported")
+    long_names = kind in LONG_NAMES
     bs, total = block_size, len(raw) // block_size
     block = lambda n: raw[n * bs : (n + 1) * bs]
     root_nr = (total - 1 + reserved) // 2 if struct.unpack_from(">I", block((total) // 2), 0)[0] != HEADER else total // 2
@@ -98,8 +97,10 @@ def read(raw: bytes, dos_type: int | None = None, block_size: int = 512, reserve
                     out.problems.append(f"block {head}: checksum")
                     break
                 (sec,) = struct.unpack_from(">i", e, bs - 4)
-                path = f"{parent}/{bstr(e, bs - 80, 32)}".lstrip("/")
-                entry = Entry(path, sec == FOLDER, b"", _longs(e, bs - 192, 1)[0], _longs(e, bs - 92, 3), bstr(e, bs - 184, 80), head)  # type: ignore[arg-type]
+                # long names take the place of comments, and push the date back
+                name, comment, date = (bstr(e, bs - 184, 112), "", bs - 60) if long_names else (bstr(e, bs - 80, 32), bstr(e, bs - 184, 80), bs - 92)
+                path = f"{parent}/{name}".lstrip("/")
+                entry = Entry(path, sec == FOLDER, b"", _longs(e, bs - 192, 1)[0], _longs(e, date, 3), comment, head)  # type: ignore[arg-type]
                 if sec == FOLDER:
                     todo.append((path, e))
                 elif sec == FILE:
@@ -157,8 +158,8 @@ def write(volume: Volume, reserved: int = 2) -> bytes:
     """The volume with all its entries; parents that are missing are made. Blocks are taken in order behind the root, then from
     the start, so equal entries give equal bytes."""
     bs, total, kind = volume.block_size, volume.total, volume.dos_type
-    if kind in LONG_NAMES:
-        raise ValueError("volumes with long names are not supported")
+    long_names = kind in LONG_NAMES
+    most = MAX_LONG_NAME if long_names else MAX_NAME
     slots, inter, headers = bs // 4 - 56, is_international(kind), has_data_headers(kind)
     room = bs - 24 if headers else bs
     root = total // 2
@@ -195,14 +196,20 @@ def write(volume: Volume, reserved: int = 2) -> bytes:
     tables: dict[str, list[int]] = {"": [0] * slots}
     for path, e in sorted(entries.items(), key=lambda x: (x[0].count("/"), x[0])):
         parent, _, name = path.rpartition("/")
-        name = name.encode("latin-1", "replace")[:MAX_NAME].decode("latin-1")
+        name = name.encode("latin-1", "replace")[:most].decode("latin-1")
         nr = number[path] = take()
         b = blocks[nr] = bytearray(bs)
         struct.pack_into(">II", b, 0, HEADER, nr)
         struct.pack_into(">I", b, bs - 192, e.protection & END)
-        put_bstr(b, bs - 184, e.comment, MAX_COMMENT + 1)
-        struct.pack_into(">III", b, bs - 92, *e.date)
-        put_bstr(b, bs - 80, name, 32)
+        if long_names:
+            if e.comment:
+                raise ValueError(f"{path}: no comments on volumes with long names")
+            put_bstr(b, bs - 184, name, 112)
+            struct.pack_into(">III", b, bs - 60, *e.date)
+        else:
+            put_bstr(b, bs - 184, e.comment, MAX_COMMENT + 1)
+            struct.pack_into(">III", b, bs - 92, *e.date)
+            put_bstr(b, bs - 80, name, 32)
         slot = slot_of(name, slots, inter)
         struct.pack_into(">II", b, bs - 16, tables[parent][slot], number[parent])
         tables[parent][slot] = nr

@@ -147,6 +147,12 @@ def fat_image_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _back(images.fat_images(_files(spark, sf_dir)), F.regexp_replace("image", r"\.img$", ""))
 
 
+@query(_SAME)
+def pfs_image_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written to PFS3 images and read back."""
+    return _back(images.pfs_images(_files(spark, sf_dir)), F.regexp_replace("image", r"\.hdf$", ""))
+
+
 @query(_SAME)
 def lha_archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in archives, extracted with their checksums."""

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platter.codecs import lzh, zips
-from platter.parse import fat, ffs, iso, partitions
+from platter.parse import fat, ffs, iso, partitions, pfs
 
 ENTRIES = "image string, volume string, path string, parent string, name string, is_dir boolean, size bigint, protection bigint, modified timestamp, comment string, note string, error string"
 CONTENTS = "image string, volume string, path string, content binary, error string"
@@ -46,7 +46,8 @@ def _dos_date(stamp: int) -> datetime | None:
 
 
 def _amiga(name: str | None, raw: bytes, kind: int | None, size: int, reserved: int) -> Iterator[Row]:
-    v = ffs.read(raw, kind, size, reserved)
+    is_pfs = raw[:4] == b"PFS\1" or (kind or 0) >> 8 in (0x504653, 0x504453)
+    v = pfs.read(raw) if is_pfs else ffs.read(raw, kind, size, reserved)
     for e in v.entries:
         yield name or v.name, e.path, e.is_dir, e.size, e.protection, _date(*e.date), e.comment, e.note, lambda e=e: e.content
 
@@ -75,7 +76,7 @@ def volumes(raw: bytes) -> Iterator[tuple[str, int, int, Callable[[], Iterator[R
         part = raw[at : at + p.size]
         yield p.name, at, p.size, lambda p=p, part=part: _amiga(p.name, part, p.dos_type, p.block_size, p.reserved)
     if not found:
-        if raw[:3] == b"DOS":
+        if raw[:3] in (b"DOS", b"PFS"):
             yield "", 0, len(raw), lambda: _amiga(None, raw, None, 512, 2)
         else:
             yield "BOOT", 0, len(raw), lambda: _fat(raw)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from platter.codecs import icons, lzh, lzhuf, mfm, pictures, zips
 from platter.functions import checksums, dates, names, texts, tooling
 from platter.operators import chains, images, ranks
-from platter.parse import fat, ffs, iso, partitions
+from platter.parse import fat, ffs, iso, partitions, pfs
 from platter.sources import containers
 from platter.sources.blocks import BlockSource
 from platter.streaming import captures
@@ -288,3 +288,30 @@ def test_stream_of_captures(spark, tmp_path):
     q.stop()
     got = spark.table("kept_sectors").collect()
     assert len(got) == 11 and {r.sector for r in got} == set(range(11)) and all(r.valid for r in got)
+
+
+def test_pfs_volumes():
+    entries = [pfs.Entry(p, False, c, 0x12345, (1, 2, 3), "note") for p, c in FILES] + [pfs.Entry("Folder", True)] + [pfs.Entry(f"many/a rather long file name number {i}", False, b"z") for i in range(700)]
+    raw = pfs.write(pfs.Volume("Work", 6000, entries))
+    v = pfs.read(raw)
+    got = {e.path: e for e in v.entries}
+    assert v.name == "Work" and v.sectors == 6000 and not v.problems and len(got) == len(entries) + 4
+    assert all(got[e.path].content == e.content and got[e.path].is_dir == e.is_dir for e in entries)
+    assert all(got[p].protection == 0x12345 and got[p].date == (1, 2, 3) and got[p].comment == "note" for p, _ in FILES)
+    assert raw == pfs.write(pfs.Volume("Work", 6000, entries))
+    broken = bytearray(raw)
+    broken[raw.index(b"DB\0\0")] = 0
+    assert pfs.read(bytes(broken)).problems
+    with pytest.raises(ValueError):
+        pfs.write(pfs.Volume("Work", 300, entries))
+    with pytest.raises(ValueError):
+        pfs.read(bytes(4096))
+
+
+def test_long_names():
+    name = "CheckScreenModeandChipset_Pistorm with many more letters than thirty"
+    raw = ffs.write(ffs.Volume("Long", 0x444F5307, 2048, 500, [ffs.Entry(f"d/{name}", False, b"x", 1, (4, 5, 6))]))
+    e = ffs.read(raw, 0x444F5307, 2048).entries[-1]
+    assert (e.path, e.content, e.date) == (f"d/{name}", b"x", (4, 5, 6))
+    short = ffs.read(ffs.write(ffs.Volume("S", 0x444F5303, 512, 2000, [ffs.Entry(name, False, b"x")])), 0x444F5303).entries[0]
+    assert short.path == name[:30]
