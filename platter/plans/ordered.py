@@ -42,8 +42,7 @@ def block_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = runs.select("run", (F.sum("n").over(W.orderBy("run")) - F.col("n")).alias("base"))
     inside = F.sum("need").over(W.partitionBy("run").orderBy("at")) - F.col("need")
     placed = ranked.withColumn("inside", inside).join(F.broadcast(base), "run").withColumn("first", F.col("base") + F.col("inside"))
-    total = free.agg(F.count("*").alias("total"))
-    fits = placed.crossJoin(F.broadcast(total)).where("first + need <= total")
+    fits = placed.where(F.col("first") + F.col("need") <= free.count())
     each = fits.select("doc_id", F.posexplode(F.expr("sequence(first, first + need - 1)")).alias("seq", "k"))
     return each.join(free, "k").select("doc_id", "block", F.col("seq").cast("long").alias("seq"))
 

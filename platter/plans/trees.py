@@ -69,9 +69,7 @@ def bounded_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = virtual.documents(read(spark, sf_dir, "documents")).unionByName(virtual.pages(read(spark, sf_dir, "pages")))
     rows = virtual.tree(both).where("depth <= 12").select("volume", "path", "is_dir", "depth")
     ranked = with_rank(rows, "volume", "path")
-    cut = ranked.where(F.col("rank") < BUDGET)
-    full = ranked.agg((F.count("*") >= BUDGET).alias("truncated"))
-    return cut.crossJoin(F.broadcast(full))
+    return ranked.where(F.col("rank") < BUDGET).withColumn("truncated", F.lit(ranked.count() >= BUDGET))
 
 
 @query(f"""
