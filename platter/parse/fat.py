@@ -239,5 +239,4 @@ def blank(sectors: int, label: str = "BOOT", per_cluster: int | None = None, res
     """An empty volume."""
     mb = sectors // 2048
     per = per_cluster or next((n for limit, n in ((512, 1), (8192, 8), (16384, 16), (32768, 32)) if mb <= limit), 64)
-    each = (256 * per + fats) // 2
-    return Volume(label, Layout(512, per, reserved, fats, -(-(sectors - reserved) // each), 2, sectors))
+    return Volume(label, Layout(512, per, reserved, fats, 4 * (sectors - reserved) // (512 * per + 4 * fats) + 1, 2, sectors))

@@ -212,9 +212,23 @@ def disk_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH m AS (SELECT p_partkey, (512 + p_partkey * 97 % 60000)::BIGINT AS mb FROM part),
 s AS (SELECT p_partkey, mb, mb * 2048 AS sectors, CASE WHEN mb <= 512 THEN 1 WHEN mb <= 8192 THEN 8 WHEN mb <= 16384 THEN 16 WHEN mb <= 32768 THEN 32 ELSE 64 END AS spc FROM m),
-f AS (SELECT *, (sectors - 32 + (256 * spc + 2) // 2 - 1) // ((256 * spc + 2) // 2) AS fat FROM s)
+f AS (SELECT *, 4 * (sectors - 32) // (512 * spc + 8) + 1 AS fat FROM s)
 SELECT p_partkey, sectors, spc::BIGINT AS sectors_per_cluster, fat::BIGINT AS fat_sectors, (32 + 2 * fat)::BIGINT AS data_sector, ((sectors - 32 - 2 * fat) // spc)::BIGINT AS clusters FROM f""")
 def fat_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sizes of FAT volumes."""
     mb = (F.lit(512) + F.col("p_partkey") * 97 % 60000).cast("long")
     return read(spark, sf_dir, "part").select("p_partkey", *geometry.fat_layout(mb * 2048))
+
+
+_SPANS = " + ".join(f"least(greatest(n - {sum(a for a, _ in geometry.RESERVED_SPANS[:i])}, 0), {span}) // {each}" for i, (span, each) in enumerate(geometry.RESERVED_SPANS))
+
+
+@query(f"""
+WITH v AS (SELECT o_orderkey, o_orderkey * 1237 AS sectors, o_orderkey * 1237 // 2 AS n, o_orderdate AS t FROM orders)
+SELECT o_orderkey, ((10 + {_SPANS} + greatest(n - {sum(a for a, _ in geometry.RESERVED_SPANS)}, 0) // {geometry.RESERVED_REST} + 31) // 32 * 32)::BIGINT AS reserved,
+  (((day(t) + month(t) * 256 + epoch_us(t) % 1000000 // 10000 + second(t) * 256) | ((minute(t) + hour(t) * 256 + year(t))::BIGINT << 16)) & 4294967295)::BIGINT AS volume_id,
+  (CASE WHEN sectors // 253 > 65535 THEN sectors ELSE ((sectors % 253) << 16) | (sectors // 253) END)::BIGINT AS packed FROM v""")
+def volume_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """reserved blocks, serial numbers and packed divisions."""
+    sectors = (F.col("o_orderkey") * 1237).cast("long")
+    return read(spark, sf_dir, "orders").select("o_orderkey", geometry.reserved_blocks(sectors).alias("reserved"), geometry.volume_id(F.col("o_orderdate").cast("timestamp")).alias("volume_id"), geometry.packed_division(sectors, F.lit(253)).alias("packed"))

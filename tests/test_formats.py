@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from platter.codecs import icons, lzh, lzhuf, mfm, pictures, zips
-from platter.functions import checksums, dates, names, texts, tooling
+from platter.functions import checksums, dates, geometry, names, texts, tooling
 from platter.operators import chains, images, ranks
 from platter.parse import fat, ffs, iso, partitions, pfs
 from platter.sources import containers
@@ -315,3 +315,7 @@ def test_long_names():
     assert (e.path, e.content, e.date) == (f"d/{name}", b"x", (4, 5, 6))
     short = ffs.read(ffs.write(ffs.Volume("S", 0x444F5303, 512, 2000, [ffs.Entry(name, False, b"x")])), 0x444F5303).entries[0]
     assert short.path == name[:30]
+
+
+def test_reserved_blocks(spark):
+    assert spark.range(1).select(geometry.reserved_blocks(F.lit(3_984_624)).alias("x")).first().x == 41_664
