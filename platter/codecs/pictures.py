@@ -26,6 +26,16 @@ def form(kind: str, parts: list[tuple[str, bytes]]) -> bytes:
     return b"FORM" + struct.pack(">I", len(body)) + body
 
 
+def replaced(raw: bytes, name: str, data: bytes, which: int = 0) -> bytes:
+    """The FORM with the content of one of its chunks of a name replaced; sizes and padding follow."""
+    kind, parts = chunks(raw)
+    places = [i for i, (n, _) in enumerate(parts) if n == name]
+    if which >= len(places):
+        raise ValueError(f"no chunk {name} of number {which}")
+    parts[places[which]] = (name, data)
+    return form(kind, parts)
+
+
 def unpack_runs(raw: bytes, size: int) -> bytes:
     """ByteRun1: n up to 127 copies n + 1 bytes, above 128 repeats one 257 - n times, 128 is nothing."""
     out, i = bytearray(), 0

@@ -319,3 +319,12 @@ def test_long_names():
 
 def test_reserved_blocks(spark):
     assert spark.range(1).select(geometry.reserved_blocks(F.lit(3_984_624)).alias("x")).first().x == 41_664
+
+
+def test_replaced_chunk():
+    raw = pictures.form("PREF", [("PRHD", b"123456"), ("PTRN", b"abc"), ("PTRN", b"d")])
+    new = pictures.replaced(raw, "PTRN", b"longer one", 1)
+    assert pictures.chunks(new) == ("PREF", [("PRHD", b"123456"), ("PTRN", b"abc"), ("PTRN", b"longer one")])
+    assert struct.unpack_from(">I", new, 4)[0] == len(new) - 8
+    with pytest.raises(ValueError):
+        pictures.replaced(raw, "NONE", b"")
