@@ -47,6 +47,8 @@ PIECE_BYTES = 8_000_000
 MAGIC = b"RePair01"
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 #: Second bytes of the letters U+00C0 to U+00FF.
 _LATIN = np.zeros(256, bool)
 _LATIN[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
@@ -112,16 +114,16 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a flat batch, an end id after each document, and how many each document has. A word is kept with the
-        white space behind it, so words lie side by side and none is copied. The tokenizer lower-cases, and a full stop or comma
-        behind a letter begins a piece; doing both here lets more words be shared. (Upper-case texts that would become names
-        of special tokens stay as they are.)"""
+        white space behind it, so words lie side by side and none is copied. The tokenizer lower-cases, and a mark behind a
+        letter begins a piece; doing both here lets more words be shared. (Batches that may hold
+        names of special tokens keep their case, and their names whole.)"""
         n = len(offsets) - 1
-        if b"<|" not in memoryview(np.ascontiguousarray(data)).tobytes():
-            data = LOWER[data]
+        names = b"<|" in memoryview(np.ascontiguousarray(data)).tobytes()
+        data = data if names else LOWER[data]
         inside = ~IS_SPACE[data]
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
-        mark = np.flatnonzero((data == 0x2C) | (data == 0x2E))
+        mark = np.flatnonzero((data == 0x2C) | (data == 0x2E) if names else _MARK[data])
         mark = mark[mark > 1]
         begins[mark[_LETTER[data[mark - 1]] | ((data[mark - 2] == 0xC3) & _LATIN[data[mark - 1]])]] = True
         edge = offsets[1:-1][offsets[1:-1] < len(data)]
@@ -151,18 +153,18 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     """(rules, symbols): rule r replaces a pair of symbols by symbol first + r. Each round counts all pairs and replaces every
     frequent one; of overlapping places every other one, from the left."""
     least = max(FEWEST, int(len(ids) * SHARE))
-    seq, rules = ids.astype(np.int64), np.zeros((0, 2), np.int64)
+    seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.int64)
     while len(seq) > 2 * least:
-        code = (seq[:-1] << 32) | seq[1:]
-        bucket = ((seq[:-1] * 0x9E3B + seq[1:] * 0x85EB) & 0x3FFFF).astype(np.int32)
+        bucket = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(14)
         full = np.bincount(bucket, minlength=1 << 18) >= least
         maybe = np.flatnonzero(full[bucket])
-        pair, count = np.unique(code[maybe], return_counts=True)
+        code = seq[maybe].astype(np.int64) << 32 | seq[maybe + 1]
+        pair, count = np.unique(code, return_counts=True)
         pair = pair[count >= least]
         if not len(pair):
             break
-        found = np.minimum(np.searchsorted(pair, code[maybe]), len(pair) - 1)
-        hit = pair[found] == code[maybe]
+        found = np.minimum(np.searchsorted(pair, code), len(pair) - 1)
+        hit = pair[found] == code
         at, rule = maybe[hit], found[hit]
         new_run = np.ones(len(at), bool)
         new_run[1:] = at[1:] != at[:-1] + 1
@@ -177,7 +179,7 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
         rules = np.concatenate([rules, np.stack([pair[used] >> 32, pair[used] & 0xFFFFFFFF], 1)])
         if before - len(seq) < LEAST_GAIN * before:
             break
-    return rules, seq
+    return rules, seq.astype(np.int64)
 
 
 def expansions(rules: np.ndarray, first: int) -> np.ndarray:
@@ -189,21 +191,18 @@ def expansions(rules: np.ndarray, first: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: int) -> np.ndarray:
-    """The ids of symbols. Each rule is expanded once, into a pool."""
+    """The ids of symbols. Each rule is expanded once; a pool holds all ids, each for itself, and behind them the rules' ids."""
     pool: list[np.ndarray] = []
     for a, b in rules.tolist():
         pool.append(np.concatenate([pool[x - first] if x >= first else np.array([x], np.uint32) for x in (a, b)]))
-    flat_pool = np.concatenate(pool) if pool else np.zeros(0, np.uint32)
-    pool_at = np.cumsum(lengths) - lengths
-    is_rule = symbols >= first
-    r = np.where(is_rule, symbols - first, 0)
-    count = np.where(is_rule, lengths[r] if len(lengths) else 1, 1)
-    at = np.cumsum(count) - count
-    out = np.repeat(symbols.astype(np.uint32), count)
-    inside = np.repeat(is_rule, count)
-    where = (np.repeat(np.where(is_rule, pool_at[r] if len(lengths) else 0, 0) - at, count) + np.arange(len(out)))[inside]
-    out[inside] = flat_pool[where]
-    return out
+    ids = np.concatenate([np.arange(first, dtype=np.uint32), *pool])
+    size = np.concatenate([np.ones(first, np.int32), lengths.astype(np.int32)])
+    place = np.concatenate([np.arange(first, dtype=np.int64), first + np.cumsum(lengths) - lengths])
+    count = size[symbols]
+    at = np.cumsum(count, dtype=np.int64) - count
+    index = np.repeat(place[symbols] - at, count)
+    index += np.arange(len(index))
+    return ids[index]
 
 
 def pack(doc_ids: np.ndarray, null: np.ndarray, counts: np.ndarray, ids: np.ndarray, first: int) -> bytes:
@@ -246,7 +245,7 @@ class Shard:
             return np.zeros(0, np.uint32)
         a = int(np.searchsorted(self.offsets, lo, "right")) - 1
         b = int(np.searchsorted(self.offsets, hi, "left"))
-        got = expand(self.symbols[a * STEP : b * STEP].astype(np.int64), self.rules, self.lengths, self.first)
+        got = expand(self.symbols[a * STEP : b * STEP], self.rules, self.lengths, self.first)
         return got[lo - int(self.offsets[a]) : hi - int(self.offsets[a])]
 
     def document(self, i: int) -> np.ndarray:
