@@ -52,16 +52,22 @@ def sanitized_path(path: Column) -> Column:
     return F.array_join(F.filter(F.split(F.translate(path, "\\ÿ", "//"), "/"), lambda x: ~x.isin("", ".", "..")), "/")
 
 
-#: What a short name may hold besides A-Z and 0-9: fixed set of the FAT format.
-SHORT_EXTRA = "!#$%&'()-@^_`{}~"
+def upper(name: Column) -> Column:
+    """Capitals of ASCII and Latin-1; ß becomes two letters, ÿ its capital. Engines differ on other letters, which stay."""
+    return F.translate(F.replace(name, F.lit("ß"), F.lit("SS")), ASCII_LOWER + LATIN_LOWER + "ÿ", ASCII_UPPER + LATIN_UPPER + "Ÿ")
+
+
+#: What short names and labels cannot hold: all but capitals, digits and some marks; fixed sets.
+NOT_SHORT = r"[^\p{Lu}\p{Lt}\p{Nd}!#$%&'()\-@^_`{}~]"
+NOT_LABEL = r"[^\p{L}\p{M}\p{N}!#$%&'()\-@^_`{}~ ]"
 
 
 def _short_part(part: Column, n: int) -> Column:
-    return F.left(F.regexp_replace(F.translate(part, ASCII_LOWER, ASCII_UPPER), r"[^A-Z0-9!#$%&'()\-@^_`{}~]", "_"), F.lit(n))
+    return F.left(F.regexp_replace(upper(part), NOT_SHORT, ""), F.lit(n))
 
 
 def short_base(name: Column) -> Column:
-    """The part before the last dot, cut to 8 allowed characters; others become `_`. A leading dot is no separator."""
+    """The part before the last dot, cut to 8 allowed characters; others go. A leading dot is no separator."""
     return _short_part(F.when(name.rlike(r"^.+\."), F.regexp_extract(name, r"^(.+)\.[^.]*$", 1)).otherwise(name), 8)
 
 
@@ -83,7 +89,7 @@ def short_checksum(name: Column) -> Column:
 
 def volume_label(name: Column) -> Column:
     """(F16)"""
-    return F.left(F.regexp_replace(F.translate(name, ASCII_LOWER, ASCII_UPPER), r"[^A-Z0-9 _\-]", "_"), F.lit(11))
+    return F.left(F.regexp_replace(upper(name), NOT_LABEL, ""), F.lit(11))
 
 
 def iso_name(name: Column) -> Column:

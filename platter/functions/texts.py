@@ -37,15 +37,15 @@ def insert_before_line(text: Column, pattern: str, line: str) -> Column:
 
 
 def regex_replace_lines(text: Column, pattern: str, replacement: str, ignore_case: bool = False) -> Column:
-    """Every match on every line becomes the replacement, in which {1} to {9} are the groups."""
-    literal = re.sub(r"([\\$])", r"\\\1", replacement)
-    to = re.sub(r"\{([1-9])\}", r"$\1", literal)
+    """Every match on every line becomes the replacement, in which {1} to {9} and $1 to $9 are the groups and a backslash makes
+    the next character plain. (F34)"""
+    to = re.sub(r"\{([1-9])\}", r"$\1", replacement)
     return F.array_join(F.transform(lines(text), lambda x: F.regexp_replace(x, ("(?i)" if ignore_case else "") + pattern, to)), "\n")
 
 
-#: Bytes that count against a text: control codes but tab, LF, FF, CR and ESC. Looked for in the first HEAD bytes, as the format's
-#: own test does.
-CONTROL = r"[\x00-\x08\x0B\x0E-\x1A\x1C-\x1F\x7F]"
+#: Bytes that count against a text: control codes of both halves but tab, LF, FF and CR. Looked for in the first HEAD bytes; the
+#: limit is part of the test.
+CONTROL = r"[\x00-\x08\x0B\x0E-\x1F\x7F-\x9F]"
 HEAD = 65_536
 
 
@@ -59,4 +59,4 @@ def content_kind(content: Column) -> Column:
     """What a preview would show: a picture, an icon, text, or bytes."""
     starts = lambda x: F.substring(content, 1, len(x) // 2) == F.unhex(F.lit(x))
     ilbm = starts("464F524D") & (F.substring(content, 9, 4).isin(bytearray(b"ILBM"), bytearray(b"PBM ")))
-    return F.when(ilbm, "bitmap").when(starts("E310"), "icon").when(is_textual(content), "text").when(starts("1F9D"), "compressed").otherwise("hex")
+    return F.when(ilbm, "bitmap").when(starts("E310"), "icon").when(is_textual(content), "text").otherwise("hex")

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .names import ASCII_LOWER, ASCII_UPPER
+from .names import ASCII_LOWER, ASCII_UPPER, protection_bits
 
 
 def file_system_name(dos_type: Column) -> Column:
@@ -35,17 +35,18 @@ def parse_dos_type(text: Column) -> Column:
 
 
 def partition_spec(text: Column) -> Column:
-    """name:dostype[:cylinders[:boot[:priority[:block]]]] as a struct, null where a part cannot be read."""
+    """name:dostype[:cylinders[:boot[:priority[:sectors of a block]]]] as a struct; null without a name or type, or where the last
+    part is no power of two. Other numbers that cannot be read are 0. (F10)"""
     parts = F.split(text, ":")
-    number = lambda i, default: F.when(F.size(parts) > i, F.try_to_number(F.get(parts, F.lit(i)), F.lit("S9999999999")).cast("long")).otherwise(F.lit(default).cast("long"))
-    block = number(5, 512)
+    number = lambda i: F.coalesce(F.when(F.get(parts, F.lit(i)).rlike("^[+-]?[0-9]{1,10}$"), F.get(parts, F.lit(i)).cast("long")), F.lit(0).cast("long"))
+    block = F.when((F.size(parts) > 5) & (F.get(parts, F.lit(5)) != ""), number(5)).otherwise(F.lit(1).cast("long"))
     made = F.struct(
         F.get(parts, F.lit(0)).alias("name"),
         parse_dos_type(F.get(parts, F.lit(1))).alias("dos_type"),
-        number(2, 0).alias("cylinders"),
-        F.lower(F.coalesce(F.get(parts, F.lit(3)), F.lit("0"))).isin("1", "true", "yes", "boot").alias("bootable"),
-        number(4, 0).alias("priority"),
-        block.alias("block_size"),
+        number(2).alias("cylinders"),
+        F.coalesce(F.get(parts, F.lit(3)), F.lit("0")).isin("1", "boot").alias("bootable"),
+        number(4).alias("priority"),
+        block.alias("sectors_per_block"),
     )
     good = (F.size(parts) >= 2) & (F.get(parts, F.lit(0)) != "") & parse_dos_type(F.get(parts, F.lit(1))).isNotNull() & (block > 0) & (block.bitwiseAND(block - 1) == 0)
     return F.when(good, made)
@@ -59,9 +60,9 @@ def version_of(text: Column) -> Column:
 
 
 def size_label(size: Column) -> Column:
-    """One decimal of GB from a GB on, else whole MB; in units of 1024, halves away from zero."""
-    gb = F.floor((size * 10 + (1 << 29)) / (1 << 30)).cast("long")
-    return F.when(size >= 1 << 30, F.concat(F.floor(gb / 10).cast("string"), F.lit("."), (gb % 10).cast("string"), F.lit(" GB"))).otherwise(F.concat(F.floor((size + (1 << 19)) / (1 << 20)).cast("string"), F.lit(" MB")))
+    """GiB and GB with one decimal from a GiB on, else whole MiB; exact halves go to the even digit."""
+    big = F.format_string("%.1f GiB (%.1f GB)", F.bround(size / float(1 << 30), 1), F.bround(size / 1e9, 1))
+    return F.when(size >= 1 << 30, big).otherwise(F.format_string("%.0f MiB", F.bround(size / float(1 << 20), 0)))
 
 
 @F.pandas_udf(T.StringType())  # type: ignore[call-overload]
@@ -82,8 +83,11 @@ def sidecar_line(mask: Column, ts: Column, comment: Column) -> Column:
 
 
 def parse_sidecar(text: Column) -> Column:
-    """mask, modified and comment of a sidecar's first line; a line of fewer than three parts has only the mask."""
+    """mask, modified and comment of a sidecar's first line, null if the mask is none; a line of fewer than three parts has only
+    the mask. (S43)"""
     line = F.regexp_replace(F.substring_index(text, "\n", 1), "\r$", "")
     date = F.regexp_extract(line, r"^\S{8} (\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d\d)", 1)
     rest = F.regexp_extract(line, r"^\S{8} \S+ \S+ ?(.*)$", 1)
-    return F.struct(F.regexp_extract(line, r"^(\S{8})", 1).alias("mask"), F.when(date != "", F.to_timestamp(date, "yyyy-MM-dd HH:mm:ss.SS")).alias("modified"), rest.alias("comment"))
+    mask = F.regexp_extract(line, r"^(\S*)", 1)
+    made = F.struct(mask.alias("mask"), F.when(date != "", F.to_timestamp(date, "yyyy-MM-dd HH:mm:ss.SS")).alias("modified"), F.trim(rest).alias("comment"))
+    return F.when(protection_bits(mask).isNotNull(), made)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 import struct
+import unicodedata
 from dataclasses import dataclass, field
 
 MASK, LAST = 0x0FFFFFFF, 0x0FFFFFF8
 READ_ONLY, HIDDEN, SYSTEM, LABEL, FOLDER, ARCHIVE, LONG = 1, 2, 4, 8, 16, 32, 15
-_NOT_SHORT = re.compile(r"[^A-Z0-9!#$%&'()\-@^_`{}~]")
+_SHORT_MARKS = "!#$%&'()-@^_`{}~"
 
 
 @dataclass
@@ -77,11 +77,12 @@ def short_checksum(raw: bytes) -> int:
 
 
 def short(name: str) -> bytes:
-    """The 11 bytes of a short name: cut, with no counter."""
+    """The 11 bytes of a short name: capitals, digits and some marks, cut, with no counter."""
     base, dot, ext = name.rpartition(".")
     if not dot or not base:
         base, ext = name, ""
-    part = lambda x, n: _NOT_SHORT.sub("_", x.upper())[:n].ljust(n).encode("latin-1", "replace")
+    allowed = lambda c: unicodedata.category(c) in ("Lu", "Lt", "Nd") or c in _SHORT_MARKS
+    part = lambda x, n: "".join(filter(allowed, x.upper()))[:n].ljust(n).encode("latin-1", "replace")
     return part(base, 8) + part(ext, 3)
 
 

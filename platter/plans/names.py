@@ -66,12 +66,14 @@ def disk_name_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BASE = r"CASE WHEN regexp_matches({0}, '^.+\.') THEN regexp_extract({0}, '^(.+)\.[^.]*$', 1) ELSE {0} END"
 _EXT = r"CASE WHEN regexp_matches({0}, '^.+\.') THEN regexp_extract({0}, '^.+\.([^.]*)$', 1) ELSE '' END"
-_PART = r"left(regexp_replace(translate({{}}, '{}', '{}'), '[^A-Z0-9!#$%&''()\-@^_`{{{{}}}}~]', '_', 'g'), {{}})".format(names.ASCII_LOWER, names.ASCII_UPPER)
+_UPPER = f"translate(replace({{}}, 'ß', 'SS'), '{names.ASCII_LOWER + names.LATIN_LOWER}ÿ', '{names.ASCII_UPPER + names.LATIN_UPPER}Ÿ')"
+_NOT_SHORT, _NOT_LABEL = (x.replace("'", "''") for x in (names.NOT_SHORT, names.NOT_LABEL))
 _LEAF = "(SELECT p_partkey AS id, p_name AS name FROM part UNION ALL SELECT -1 - page_id, regexp_extract(url, '([^/]*)$', 1) FROM pages)"
 
 
 def _short(x: str) -> tuple[str, str]:
-    return _PART.format(_BASE.format(x), 8), _PART.format(_EXT.format(x), 3)
+    part = lambda y, n: f"left(regexp_replace({_UPPER.format(y)}, '{_NOT_SHORT}', '', 'g'), {n})"
+    return part(_BASE.format(x), 8), part(_EXT.format(x), 3)
 
 
 def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +96,7 @@ def lfn_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaves(spark, sf_dir).select("id", names.short_checksum(F.col("name")).alias("checksum"))
 
 
-@query(r"SELECT id, regexp_replace(regexp_replace(regexp_replace(name, '[^\x20-\x7E]', '_', 'g'), ';[^;]*$', ''), '\.$', '') AS iso_name, left(regexp_replace(translate(name, '" + names.ASCII_LOWER + "', '" + names.ASCII_UPPER + r"'), '[^A-Z0-9 _\-]', '_', 'g'), 11) AS label FROM " + _LEAF + " l")
+@query(rf"SELECT id, regexp_replace(regexp_replace(regexp_replace(name, '[^\x20-\x7E]', '_', 'g'), ';[^;]*$', ''), '\.$', '') AS iso_name, left(regexp_replace({_UPPER.format('name')}, '{_NOT_LABEL}', '', 'g'), 11) AS label FROM {_LEAF} l")
 def iso_name_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ISO names and volume labels."""
     return _leaves(spark, sf_dir).select("id", names.iso_name(F.col("name")).alias("iso_name"), names.volume_label(F.col("name")).alias("label"))

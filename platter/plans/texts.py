@@ -54,8 +54,7 @@ _BYTES = "(SELECT 'doc' AS kind, doc_id AS id, encode(text) AS b FROM documents
 @query(f"""
 SELECT kind, id, CASE WHEN substr(h, 1, 8) = '464F524D' AND substr(h, 17, 8) IN ('494C424D', '50424D20') THEN 'bitmap' WHEN substr(h, 1, 4) = 'E310' THEN 'icon'
   WHEN n = 0 OR 20 * len(list_filter(list_transform(range(least(n, 65536)), lambda i: substr(h, 2 * i + 1, 2)),
-     lambda x: (x < '20' AND x NOT IN ('09', '0A', '0C', '0D', '1B')) OR x = '7F')) < least(n, 65536) THEN 'text'
-  WHEN substr(h, 1, 4) = '1F9D' THEN 'compressed' ELSE 'hex' END AS content FROM (SELECT kind, id, hex(b) AS h, octet_length(b) AS n FROM {_BYTES} f)""")
+     lambda x: (x < '20' AND x NOT IN ('09', '0A', '0C', '0D')) OR x BETWEEN '7F' AND '9F')) < least(n, 65536) THEN 'text' ELSE 'hex' END AS content FROM (SELECT kind, id, hex(b) AS h, octet_length(b) AS n FROM {_BYTES} f)""")
 def classify_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What previews show of documents, pages and made contents with control codes."""
     docs = read(spark, sf_dir, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("b"))

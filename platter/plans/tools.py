@@ -25,9 +25,9 @@ def dos_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT s_suppkey, 'DH' || s_suppkey AS name, (CASE WHEN s_suppkey % 4 = 0 THEN 1346654979 ELSE 1146049283 END)::BIGINT AS dos_type, (s_suppkey * 7)::BIGINT AS cylinders, s_suppkey % 2 = 0 AS bootable, (s_suppkey % 5 - 2)::BIGINT AS priority
 FROM supplier WHERE s_suppkey % 11 <> 0""")
 def partition_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """specifications read from text; those with a block size that is no power of two go."""
+    """specifications read from text; those whose blocks are no power of two go."""
     k = F.col("s_suppkey")
-    text = F.concat_ws(":", F.concat(F.lit("DH"), k), F.when(k % 4 == 0, "pds3").otherwise("0x444f5303"), (k * 7).cast("string"), F.when(k % 2 == 0, "1").otherwise("0"), (k % 5 - 2).cast("string"), F.when(k % 11 == 0, "1000").otherwise("1024"))
+    text = F.concat_ws(":", F.concat(F.lit("DH"), k), F.when(k % 4 == 0, "pds3").otherwise("0x444f5303"), (k * 7).cast("string"), F.when(k % 2 == 0, "1").otherwise("0"), (k % 5 - 2).cast("string"), F.when(k % 11 == 0, "3").otherwise("2"))
     spec = read(spark, sf_dir, "supplier").select("s_suppkey", tooling.partition_spec(text).alias("s")).where("s is not null")
     return spec.select("s_suppkey", "s.name", "s.dos_type", "s.cylinders", "s.bootable", "s.priority")
 
@@ -44,7 +44,7 @@ def version_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN s >= 1073741824 THEN ((s * 10 + 536870912) // 1073741824 // 10)::VARCHAR || '.' || ((s * 10 + 536870912) // 1073741824 % 10)::VARCHAR || ' GB' ELSE ((s + 524288) // 1048576)::VARCHAR || ' MB' END AS label
+SELECT o_orderkey, CASE WHEN s >= 1073741824 THEN printf('%.1f GiB (%.1f GB)', s / 1073741824.0, s / 1000000000.0) ELSE printf('%.0f MiB', s / 1048576.0) END AS label
 FROM (SELECT o_orderkey, o_orderkey * 1234567 AS s FROM orders)""")
 def size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F22."""
