@@ -60,3 +60,9 @@ def content_kind(content: Column) -> Column:
     starts = lambda x: F.substring(content, 1, len(x) // 2) == F.unhex(F.lit(x))
     ilbm = starts("464F524D") & (F.substring(content, 9, 4).isin(bytearray(b"ILBM"), bytearray(b"PBM ")))
     return F.when(ilbm, "bitmap").when(starts("E310"), "icon").when(is_textual(content), "text").otherwise("hex")
+
+
+def decoded(content: Column) -> Column:
+    """A text file's content as UTF-8, or as Latin-1 where it is none."""
+    text = content.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.decode(content, "ISO-8859-1"))

@@ -64,6 +64,8 @@ def test_texts(spark):
     assert run(lambda t: texts.insert_before_line(t, "end", "new"), "a\nENDCLI\nend") == "a\nnew\nENDCLI\nend"
     assert run(lambda t: texts.insert_before_line(t, "zz", "new"), "a\nb") == "a\nb"
     assert run(lambda t: texts.regex_replace_lines(t, "(a)(b)", "$1{2}{1}\\$"), "ab\nxab") == "aba$\nxaba$"
+    raw = spark.createDataFrame([(bytearray("é".encode()),), (bytearray(b"\xe9"),)], "b binary").select(texts.decoded(F.col("b")).alias("x")).collect()
+    assert [r.x for r in raw] == ["é", "é"]
 
 
 @pytest.mark.parametrize("content", [b"", b"a", b"a" * 1000, bytes(random.Random(1).randrange(256) for _ in range(4096)), b"\0\x41\x41\x42" * 5000, bytes(i // 700 & 255 for i in range(40_000)), b"two phrases, one " * 800 + b"and another " * 400])
