@@ -368,10 +368,11 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def unsettled(members: DataFrame, comp: DataFrame) -> DataFrame:
     """The rows of buckets whose nodes are of several components: sig, node, n, late, comp, top (the largest component), size. Buckets
-    of two have had their only pair compared."""
-    held = members.join(comp, "node", "left").select("sig", "node", "n", "late", F.coalesce("comp", "node").alias("comp"))
-    each = held.groupBy("sig", "comp").agg(F.count("*").alias("c"))
-    most = each.groupBy("sig").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("k"), F.sum("c").alias("size")).where("k > 1 and size > 2")
+    of two have had their only pair compared; `whole` counts a bucket's nodes before any were left out, since a centre that has gone
+    compared the others with itself only."""
+    held = members.join(comp, "node", "left").select("sig", "node", "n", "late", "whole", F.coalesce("comp", "node").alias("comp"))
+    each = held.groupBy("sig", "comp").agg(F.count("*").alias("c"), F.max("whole").alias("whole"))
+    most = each.groupBy("sig").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("k"), F.sum("c").alias("size"), F.max("whole").alias("whole")).where("k > 1 and whole > 2")
     return table(held.join(most.select("sig", F.col("top.comp").alias("top"), "size"), "sig"), "open")
 
 
@@ -392,9 +393,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comp = table(components(links), "comps")
     light = nodes.select("node", "row_key")
     # rows that stand too late for any partner that the bucket has, or could have, meet nobody there
-    least = first.groupBy("sig").agg(F.min("n").alias("low"))
+    least = first.groupBy("sig").agg(F.min("n").alias("low"), F.count("*").alias("whole"))
     able = "late <= n - " + _common("n", f"greatest(low, ({THRESHOLD[0]} * n + {THRESHOLD[1] - 1}) div {THRESHOLD[1]})")
-    members = table(first.join(least, "sig").where(able).select("sig", "node", "n", "late"), "members")
+    members = table(first.join(least, "sig").where(able).select("sig", "node", "n", "late", "whole"), "members")
     for turn in range(ROUNDS):
         open_ = unsettled(members, comp)
         # outsiders meet one member of the bucket's largest component, another one in each bucket, before they meet all

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,31 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == {i: root(i) for i in range(len(rows))}
 
 
+def test_near_duplicates_whose_centre_is_too_small(spark):
+    """Three sets share one token. The centre, the smallest, can link to nobody there; the other two are near and meet only there."""
+    r = random.Random(3)
+    word = lambda: "w%d" % r.randrange(10**6)
+
+    def tokens(t):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        return next(ngram_join.shingles(raw, np.array([0, len(raw)])))
+
+    while True:  # until the private tokens of both come first, and the common one second, in the order of tokens
+        w = [word() for _ in range(13)]
+        b, c = " ".join([*w, word()]), " ".join([*w, word()])
+        tb, tc = tokens(b), tokens(c)
+        if tb[1] != tc[1] or tb[0] == tc[0]:
+            continue
+        at = next(i for i in range(9) if tokens(" ".join(w[i : i + 5]))[0] == tb[1] or i == 8)
+        a = " ".join([*(word() for _ in range(4)), *w[at : at + 5], *(word() for _ in range(3))])
+        ta = tokens(a)
+        if ta[1] == tb[1] and ngram_join.identity(ta) < min(map(ngram_join.identity, (tb, tc))):
+            break
+    assert (len(ta), len(tb), len(tc), len(np.intersect1d(tb, tc))) == (8, 10, 10, 9)
+    rows = spark.createDataFrame([(1, a), (2, b), (3, c)], "doc_id long, text string")
+    assert sorted(tuple(x) for x in ngram_join.digest(rows).collect()) == [(1, 8, 1), (2, 10, 2), (3, 10, 2)]
+
+
 def test_repeated_passages(docs, none):
     rows = [(r[0], (r[1] or "").encode()) for r in corpus()]
     n = pfp.LENGTH
