@@ -6,8 +6,8 @@ What all aligned pages have alike, structure and text, is template; slots whose
 folded from its pages in any grouping: a page is aligned with the wrapper so far, matched nodes add up how often they were seen
 and with how many different texts, unmatched nodes are added. Folding is done map-side on each task's pages of a host and the
 small partial wrappers are then folded by host, so a host with a third of all pages is no task's alone. Only the skeleton (the
-elements that can hold blocks, without paragraphs and inline elements) is aligned; a wrapper keeps at most MOST_NODES nodes,
-those seen most often.
+elements that can hold blocks, without paragraphs and inline elements) is aligned; a wrapper keeps all nodes that its pages
+have, and of the texts in each slot the TEXTS most frequent.
 
 The content slot is the varying slot that holds the most text, among those that are not of a boilerplate kind (navigation,
 headers, footers, sidebars, forms, notices, adverts and comments, by element, role, class or id; scripts and styles are no
@@ -57,7 +57,6 @@ BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary searc
 BOILERPLATE_NAMES = re.compile(
     r"(?i)(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner\w*|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumb\w*|side-?bar|widget\w*|foot(?:er)?|site-?header|masthead|cookie\w*|consent|gdpr|notice\w*|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comment\w*|disqus|respond|replies|pagination|pager|toolbar|copyright|legal|disclaimer|alert)(?:$|[\s_-])"
 )
-MOST_NODES = 400
 #: Part of the aligned pages that must have a text alike for it to be template, and the fewest pages that can tell.
 ALIKE, FEWEST = 0.6, 3
 SPACE = re.compile(r"[ \t\n\r\f\v   -     　]+")
@@ -275,29 +274,6 @@ def fold(a: Slot, b: Slot, memo: dict[tuple[int, int], int] | None = None) -> Sl
     return Slot(a.label, a.away or b.away, a.pages + b.pages, a.chars + b.chars, texts, merged[::-1])
 
 
-def pruned(slot: Slot) -> Slot:
-    """At most MOST_NODES nodes, those of most pages first."""
-    every: list[int] = []
-
-    def walk(s: Slot) -> None:
-        every.append(s.pages)
-        for c in s.children:
-            walk(c)
-
-    walk(slot)
-    if len(every) <= MOST_NODES:
-        return slot
-    least = sorted(every, reverse=True)[MOST_NODES]
-
-    def cut(s: Slot) -> None:
-        s.children = [c for c in s.children if c.pages > least]
-        for c in s.children:
-            cut(c)
-
-    cut(slot)
-    return slot
-
-
 @dataclass
 class Wrapper:
     """What a host's alignment says: the path of labels of the content slot, and the texts that are template."""
@@ -426,7 +402,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
             if page:
                 own = skeleton(parse(page))
-                by[host] = pruned(fold(by[host], own)) if host in by else own
+                by[host] = fold(by[host], own) if host in by else own
         if len(by) > 2000:
             yield _dumped(by)
             by = {}
@@ -444,7 +420,7 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, t in zip(batch["host"].to_pylist(), batch["tree"].to_pylist(), strict=True):
             one = Slot.load(json.loads(t))
             if h == host:
-                tree = pruned(fold(tree, one))
+                tree = fold(tree, one)
             else:
                 if tree is not None:
                     yield _dumped({host: tree})

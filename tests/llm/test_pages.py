@@ -31,6 +31,16 @@ def test_tree_matching():
     assert [c.label for c in both.children] == ["div", "nav", "section"] and [c.pages for c in both.children] == [2, 1, 2]
 
 
+def test_main_text_of_pages_with_many_elements(spark):
+    """A wrapper keeps the content's path, and the template, of pages with hundreds of elements that are all alike."""
+    page = "<body><div class='top'>welcome to this host</div><div class='text'><p>Words of {n}, and more of {n}.</p></div>" + "<div class='cell'></div>" * 450 + "</body>"
+    table = "<body><div class='top'>welcome to this host</div><article><p>Words of {n}.</p><table>" + "<tr><td></td><td></td><td></td><td></td></tr>" * 100 + "</table></article></body>"
+    rows = [(i, f"https://cells.example.com/{i}", page.format(n=i)) for i in range(5)] + [(10 + i, f"https://table.example.com/{i}", table.format(n=i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    got = {r.page_id: r.text for r in wrapper.main_text(df).collect()}
+    assert got == {i: f"Words of {i}, and more of {i}." for i in range(5)} | {10 + i: f"Words of {i}." for i in range(5)}
+
+
 def test_rules_and_links(spark):
     link = '<a href="https://{}/x">x</a>'
     rows = [
