@@ -330,3 +330,19 @@ def test_replaced_chunk():
     assert struct.unpack_from(">I", new, 4)[0] == len(new) - 8
     with pytest.raises(ValueError):
         pictures.replaced(raw, "NONE", b"")
+
+
+def test_all_tracks_of_a_long_text_are_found(monkeypatch):
+    """More tracks than a hundred images hold; the codec is left out, for speed."""
+    from types import SimpleNamespace
+
+    from platter.plans import images
+
+    same = lambda x, *_: x
+    codec = SimpleNamespace(SCP_TRACKS=168, SCP_UNIT=25e-9, encode_track=lambda t, s: {(t, k): d for k, d in enumerate(s)}, intervals=same, scp_encode=same, cells_of=same, decode_track=same, recovered=same)
+    codec.scp_decode = lambda kept: {t: x for t, x in kept.items()}
+    monkeypatch.setattr(images, "mfm", codec)
+    monkeypatch.setattr(images, "_docs", lambda *_: None)
+    monkeypatch.setattr(images, "_each", lambda docs, schema, of: of)
+    sectors = (168 * 100 + 1) * 11
+    assert images.pll_decode(None, "")(SimpleNamespace(doc_id=1, raw=bytes(sectors * 512))) == (1, sectors, 0)
