@@ -9,13 +9,15 @@
    and stand last, makes no large buckets. Very small sets have a tier of their own with single tokens.
    Frequency: each task counts tokens over runs of documents and reports those met at least twice in a run, so a token missed
    by all runs occurs at most once in each; any order gives whole results, it only decides the cost.
-3. In a bucket each node is compared with one centre, not with all others. Links found give components. A bucket
-   whose nodes fall in several components is looked at again: its outsiders meet other members of the largest component, which
-   brings large groups together without all pairs, and every node then outside is compared with all nodes of other
-   components. After that no link between components can be missed, so components are exact.
-4. Every node has a bitmap of its tokens, 2 to 4 bits a token. Bits of one node that the other lacks are tokens that it lacks, so
-   pairs with too many of them are out for certain. Verification of the rest compares whole sets: their texts are found through a membership filter of fixed size, and a centre meets
-   its members in a stream, over as many tasks as its group needs.
+3. In a bucket each node is compared with one centre, not with all others. Links found give components, and from here on only
+   pairs between components count. A bucket whose nodes fall in several components is cut into cells: some of its outsiders
+   (nodes that are not of its largest component) and some of all its nodes, each so few that a cell is a small batch. A cell
+   compares the bitmaps XX First each outsider tries its likeliest
+   partner of each other component, which joins most of what belongs together; then all pairs left between components are
+   verified. After that no link between components can be missed, so components are exact.
+4. Every node has a bitmap of its tokens, 4 to 8 bits a token. Bits of one node that the other lacks are tokens that it lacks, so
+   pairs with too many of them are out for certain. Verification of the rest compares whole sets: their texts are found through
+   a membership filter of fixed size, and a centre meets its members in a stream, over as many tasks as its group needs.
 
 Defined results: a null or blank text has an empty set, n_shingles 0, and is its own component; fewer than five words give one
 shingle of them all; null ids count as no id (a component of only null ids has null); repeated rows are equal sets; an empty
@@ -25,6 +27,7 @@ table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +48,13 @@ FREQUENT, MOST_FREQUENT = 12, 2_000_000
 RUN = 3_000_000
 #: Members that meet their centre in one task, and parts of a bucket of frequent tokens.
 MEMBERS, PARTS = 2048, 16
-#: Rounds in which outsiders of large buckets meet single members of the largest component, and how many pairs a row of an
-#: unsettled bucket may cost for them to be left out, or which part of their pairs must be links for another round. They only
-#: save work: the last round compares all that is left.
-ROUNDS, ENOUGH, WORTH = 6, 8, 0.2
+#: About as many outsiders and as many nodes in a cell of a bucket. Larger buckets have more cells.
+OUTSIDERS, NODES = 128, 256
+#: Bytes of a bitmap in a cell: longer ones are or-ed into this length, which rules out less, but nothing wrongly. Buckets of
+#: up to FEW nodes have few pairs anyway, and their bitmaps are compared later.
+CELL_BITMAP, FEW = 256, 32
+#: Pairs that a pass over the cells of a batch looks at together.
+PASS = 1 << 18
 
 _ONE, _TWO, _PAIR = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
 
@@ -124,27 +130,60 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Bit h mod m for each token h; m is the power of two of at least two bits a token. Half of a bitmap or-ed with the other
+    """Bit h mod m for each token h; m is the power of two of at least four bits a token. Half of a bitmap or-ed with the other
     half is the bitmap of half the length."""
-    m = max(8, 1 << (2 * len(tokens) - 1).bit_length())
+    m = max(8, 1 << (4 * len(tokens) - 1).bit_length())
     full = np.zeros(m, bool)
     full[tokens & np.uint64(m - 1)] = True
     return np.packbits(full, bitorder="little").tobytes()
 
 
+class Bitmaps:
+    """Many bitmaps, as a matrix for each length."""
+
+    def __init__(self, bits: pa.Array):
+        raw = [x.as_buffer() for x in bits]
+        self.length = np.fromiter(map(len, raw), np.int64, len(bits))
+        self.row = np.zeros(len(bits), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for n in np.unique(self.length).tolist():
+            at = np.flatnonzero(self.length == n)
+            self.row[at] = np.arange(len(at))
+            self.of[n] = np.frombuffer(b"".join(raw[i] for i in at.tolist()), np.uint8).reshape(len(at), n)
+
+    def lacking(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For pairs of rows: at least how many tokens of i are missing from j, and of j from i."""
+        less, more = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+        kinds = self.length[i] << 32 | self.length[j]
+        for kind in np.unique(kinds).tolist():
+            n, m = kind >> 32, kind & (1 << 32) - 1
+            short = min(n, m)
+            at = np.flatnonzero(kinds == kind)
+            step = max(1, (4 << 20) // max(n, m))
+            for part in (at[k : k + step] for k in range(0, len(at), step)):
+                x, y = self.of[n][self.row[i[part]]], self.of[m][self.row[j[part]]]
+                if n > short:
+                    x = np.bitwise_or.reduce(x.reshape(len(x), -1, short), axis=1)
+                if m > short:
+                    y = np.bitwise_or.reduce(y.reshape(len(y), -1, short), axis=1)
+                less[part] = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
+                more[part] = np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
+        return less, more
+
+
+def _needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """How many tokens two sets of these sizes must share to reach the threshold."""
+    return -(-THRESHOLD[0] * (na + nb) // (THRESHOLD[0] + THRESHOLD[1]))
+
+
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        na, nb = batch["na"].to_pylist(), batch["nb"].to_pylist()
-        keep = np.zeros(batch.num_rows, bool)
-        for i, (x, y) in enumerate(zip(batch["bits_a"], batch["bits_b"], strict=True)):
-            x, y = (np.frombuffer(z.as_buffer(), np.uint8) for z in (x, y))
-            while len(x) > len(y):
-                x = x[: len(x) // 2] | x[len(x) // 2 :]
-            while len(y) > len(x):
-                y = y[: len(y) // 2] | y[len(y) // 2 :]
-            inter = -(-THRESHOLD[0] * (na[i] + nb[i]) // (THRESHOLD[0] + THRESHOLD[1]))  # what both must have
-            keep[i] = np.bitwise_count(x & ~y).sum() <= na[i] - inter and np.bitwise_count(y & ~x).sum() <= nb[i] - inter
-        yield batch.filter(pa.array(keep)).select(["a", "b"])
+        k = batch.num_rows
+        bits = Bitmaps(pa.concat_arrays([batch["bits_a"], batch["bits_b"]]))
+        na, nb = batch["na"].to_numpy(), batch["nb"].to_numpy()
+        less, more = bits.lacking(np.arange(k), np.arange(k, 2 * k))
+        inter = _needed(na, nb)
+        yield batch.filter(pa.array((less <= na - inter) & (more <= nb - inter))).select(["a", "b"])
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -367,13 +406,107 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def unsettled(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """The rows of buckets whose nodes are of several components: sig, node, n, late, comp, top (the largest component), size. Buckets
-    of two have had their only pair compared; `whole` counts a bucket's nodes before any were left out, since a centre that has gone
-    compared the others with itself only."""
+    """The rows of buckets whose nodes are of several components: sig, node, n, late, comp, top (the largest component), size and
+    outside (how many nodes are of other components). Buckets of two have had their only pair compared; `whole` counts a
+    bucket's nodes before any were left out, since a centre that has gone compared the others with itself only."""
     held = members.join(comp, "node", "left").select("sig", "node", "n", "late", "whole", F.coalesce("comp", "node").alias("comp"))
     each = held.groupBy("sig", "comp").agg(F.count("*").alias("c"), F.max("whole").alias("whole"))
     most = each.groupBy("sig").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("k"), F.sum("c").alias("size"), F.max("whole").alias("whole")).where("k > 1 and whole > 2")
-    return table(held.join(most.select("sig", F.col("top.comp").alias("top"), "size"), "sig"), "open")
+    most = most.select("sig", F.col("top.comp").alias("top"), "size", (F.col("size") - F.col("top.c")).alias("outside"))
+    return table(held.join(most, "sig"), "open")
+
+
+_CELL = "a bigint, b bigint, other bigint, differ bigint"
+
+
+def _in_cells(best: bool):
+    """From rows in the order of cells, outsiders first: the pairs of nodes of different components that can reach the threshold
+    by size, place and bitmap; other: the component of b, differ: at least how many tokens only one of the two has. best: of
+    each outsider and other component in a cell only the pair that differs least. Cells are small, so a cell that an Arrow
+    batch cuts is kept until the rest of it comes."""
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        whole = rows.combine_chunks()
+        sig, block, slot, node, n, late, comp = (whole[c].to_numpy() for c in ("sig", "block", "slot", "node", "n", "late", "comp"))
+        outsider, stray = (whole[c].to_numpy() for c in ("outsider", "stray"))
+        head = np.ones(len(sig), bool)
+        head[1:] = (sig[1:] != sig[:-1]) | (block[1:] != block[:-1]) | (slot[1:] != slot[:-1])
+        start = np.flatnonzero(head)
+        end = np.append(start[1:], len(sig))
+        cell = np.cumsum(head) - 1
+        outs = np.add.reduceat(outsider.astype(np.int64), start)
+        x = np.flatnonzero(outsider)  # every outsider meets the members of its cell
+        many = (end - start - outs)[cell[x]]
+        raw = whole["bits"].chunk(0) if whole["bits"].num_chunks == 1 else pa.concat_arrays(whole["bits"].chunks)
+        bits = Bitmaps(raw)
+        upto = np.cumsum(many)
+        at = 0
+        while at < len(x):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PASS, "right")))
+            k = many[at:stop]
+            i = np.repeat(x[at:stop], k)
+            j = np.repeat((start + outs)[cell[x[at:stop]]], k) + np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+            at = stop
+            small, large = np.minimum(n[i], n[j]).astype(np.int64), np.maximum(n[i], n[j]).astype(np.int64)
+            spare_i, spare_j = n[i] - _needed(small, large), n[j] - _needed(small, large)
+            # two outsiders meet in two cells, and once is enough
+            ok = (comp[i] != comp[j]) & (~stray[j] | (node[i] < node[j]))
+            ok &= (THRESHOLD[1] * small >= THRESHOLD[0] * large) & (late[i] <= spare_i) & (late[j] <= spare_j)
+            i, j, spare_i, spare_j = i[ok], j[ok], spare_i[ok], spare_j[ok]
+            less, more = bits.lacking(i, j)
+            ok = (less <= spare_i) & (more <= spare_j)
+            i, j, differ = i[ok], j[ok], (less + more)[ok]
+            if best and len(i):
+                order = np.lexsort((node[j], differ, comp[j], i))
+                first = np.ones(len(i), bool)
+                first[1:] = (i[order][1:] != i[order][:-1]) | (comp[j][order][1:] != comp[j][order][:-1])
+                i, j, differ = (v[order[first]] for v in (i, j, differ))
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (node[i], node[j], comp[j], differ)], ["a", "b", "other", "differ"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([*kept, b])
+            last = [rows[c][-1].as_py() for c in ("sig", "block", "slot")]
+            same = np.ones(rows.num_rows, bool)
+            for c, v in zip(("sig", "block", "slot"), last, strict=True):
+                same &= rows[c].to_numpy() == v
+            cut = int(np.argmax(same))  # sorted, so the cell is the end of the rows
+            if cut:
+                yield from pairs(rows.slice(0, cut))
+            kept = rows.slice(cut).combine_chunks().to_batches()
+        if kept:
+            yield from pairs(pa.Table.from_batches(kept))
+
+    return run
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps of at most CELL_BITMAP bytes."""
+    for b in batches:
+        raw = (np.frombuffer(x.as_buffer(), np.uint8) for x in b["bits"])
+        short = [(np.bitwise_or.reduce(x.reshape(-1, CELL_BITMAP), axis=0) if len(x) > CELL_BITMAP else x).tobytes() for x in raw]
+        yield b.set_column(b.schema.get_field_index("bits"), "bits", pa.array(short, pa.binary()))
+
+
+def crossed(open_: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
+    """Pairs between components that the buckets of open_ leave possible (see _in_cells). An outsider is in as many cells as
+    its bucket has slots of nodes, a node in as many as it has blocks of outsiders."""
+    small = open_.where(F.col("size") <= FEW).withColumn("bits", F.expr("X'00'"))
+    large = open_.where(F.col("size") > FEW).join(nodes.select("node", "bits"), "node").select(small.columns).transform(arrow(_folded, small.schema))
+    stray = F.col("comp") != F.col("top")
+    rows = small.unionByName(large).select("sig", "node", "n", "late", "comp", "bits", stray.alias("stray"), F.expr(f"cast((size - 1) div {NODES} + 1 as int)").alias("slots"), F.expr(f"cast((outside - 1) div {OUTSIDERS} + 1 as int)").alias("blocks"))
+    rows = rows.withColumn("turn", F.xxhash64("node", "sig"))
+    of = lambda n: F.pmod("turn", F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["sig", "block", "slot", "outsider", "stray", "node", "n", "late", "comp", "bits"]
+    out = rows.where("stray").withColumn("block", of("blocks")).withColumn("slot", every("slots")).withColumn("outsider", F.lit(True))
+    members = rows.withColumn("slot", of("slots")).withColumn("block", every("blocks")).withColumn("outsider", F.lit(False))
+    cells = out.select(columns).unionByName(members.select(columns)).repartition("sig", "block", "slot").sortWithinPartitions("sig", "block", "slot", F.desc("outsider"))
+    return cells.transform(arrow(_in_cells(best), _CELL))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -396,31 +529,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = first.groupBy("sig").agg(F.min("n").alias("low"), F.count("*").alias("whole"))
     able = "late <= n - " + _common("n", f"greatest(low, ({THRESHOLD[0]} * n + {THRESHOLD[1] - 1}) div {THRESHOLD[1]})")
     members = table(first.join(least, "sig").where(able).select("sig", "node", "n", "late", "whole"), "members")
-    for turn in range(ROUNDS):
-        open_ = unsettled(members, comp)
-        # outsiders meet one member of the bucket's largest component, another one in each bucket, before they meet all
-        work = open_.agg(F.count("*").alias("n"), F.sum(F.when(F.col("comp") != F.col("top"), F.col("size"))).alias("pairs")).first()
-        if (work["pairs"] or 0) <= ENOUGH * work["n"]:
-            break
-        centre = open_.where("comp = top").groupBy("sig").agg(F.min_by(F.struct("node", "n", "late"), F.struct("late", F.xxhash64("node", "sig", F.lit(turn)))).alias("c"))
-        outside = open_.where("comp <> top").join(centre, "sig").where(_pairs("c.node", "node", "c.n", "n", "c.late", "late"))
-        tried = table(plausible(outside.select(F.least("c.node", "node").alias("a"), F.greatest("c.node", "node").alias("b")).distinct(), nodes), "tried")
-        more = table(verified(tried, light, docs), "links")
-        found = more.count()
-        if found:
-            links = table(links.unionByName(more), "links")
-            comp = table(components(links), "comps")
-        if found < WORTH * tried.count():
-            open_ = unsettled(members, comp)
-            break
-    else:
+    met = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    fresh = lambda df, *seen: df.join(reduce(DataFrame.unionByName, map(met, seen)), ["a", "b"], "left_anti")
+    open_ = unsettled(members, comp)
+    likely = crossed(open_, nodes, True).groupBy("a", "other").agg(F.min_by("b", F.struct("differ", "b")).alias("b"))
+    tried = table(fresh(met(likely), pairs), "tried")
+    more = table(verified(table(plausible(tried, nodes), "plausible"), light, docs), "links")
+    if not more.isEmpty():
+        links = table(links.unionByName(more), "links")
+        comp = table(components(links), "comps")
+        drop_table(open_)
         open_ = unsettled(members, comp)
-    # what is still outside the largest component of a bucket meets all nodes of its other components
-    out = open_.where("comp <> top").select("sig", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("late").alias("lx"), F.col("comp").alias("cx"))
-    cross = out.join(open_, "sig").where("cx <> comp and (comp = top or x < node) and " + _pairs("x", "node", "nx", "n", "lx", "late"))
-    rest = cross.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    rest = rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rest = table(plausible(rest, nodes), "rest")
+    rest = table(plausible(fresh(met(crossed(open_, nodes, False)), pairs, tried), nodes), "rest")
     if not rest.isEmpty():
         more = table(verified(rest, light, docs), "links")
         comp = table(components(links.unionByName(more)), "comps")
@@ -432,18 +552,20 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents, less all but one of each component: the one of the smallest id stays, of repeated rows one. Documents with
     empty sets stay. Rows are only compared with the list of those that go or are repeated."""
     found = table(near_duplicates(docs).select("doc_id", "row_key", "group"), "groups")
-    best = found.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("best"))
-    rows = found.where("group is not null").groupBy("row_key", "group").agg(F.count("*").alias("times"))
+    # a table of its own: the join below can then be split where a component is large
+    best = table(found.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("best")), "best")
+    rows = table(found.where("group is not null").groupBy("row_key", "group").agg(F.count("*").alias("times")), "rows")
     marks = rows.join(best, "group").select(F.col("row_key").alias("mark"), (F.col("row_key") != F.col("best.row_key")).alias("goes"), "times").where("goes or times > 1")
     marks = table(marks, "marks")
-    keyed_ = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"))
+    keyed_ = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"), F.xxhash64(*docs.columns).alias("tie"))
     single = keyed_.join(marks, F.col("key") == F.col("mark"), "left_anti").select("row")
-    again = keyed_.join(marks.where("not goes"), F.col("key") == F.col("mark")).dropDuplicates(["key"]).select("row")
+    # of rows with equal id and text the whole row decides
+    again = keyed_.join(marks.where("not goes"), F.col("key") == F.col("mark")).groupBy("key").agg(F.min_by("row", "tie").alias("row")).select("row")
     return single.unionByName(again).select("row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Per document: the size of its set and the smallest id of its component."""
-    found = near_duplicates(docs)
-    least = found.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
+    found = table(near_duplicates(docs), "groups")
+    least = table(found.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least")), "least")
     return found.join(least, "group", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
