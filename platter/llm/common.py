@@ -120,8 +120,10 @@ class Rolling:
     _up = np.ones(1, np.uint64)
     _down = np.ones(1, np.uint64)
 
-    def __init__(self, data: np.ndarray):
-        n = len(data) + 1
+    def __init__(self, data: np.ndarray | None = None, values: np.ndarray | None = None):
+        """data: bytes; or values: any symbols, as 64-bit hashes of their own."""
+        values = Rolling._table[data] if values is None else values
+        n = len(values) + 1
         if len(Rolling._up) < n:
             size = max(n, 1 << 19)
             for name, by in (("_up", self.BASE), ("_down", self.INVERSE)):
@@ -129,7 +131,7 @@ class Rolling:
                 steps[0] = 1
                 setattr(Rolling, name, np.multiply.accumulate(steps))
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum(Rolling._table[data] * Rolling._up[: n - 1], out=self.sums[1:])
+        np.cumsum(values * Rolling._up[: n - 1], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * Rolling._down[start]

@@ -14,6 +14,10 @@ is that of ranks, not of the alphabet, which decides the same repeats.
    a core and a context of its own, and sorted again; where a block's core is met with different contexts, string by string.
 3. Strings without a trigger that early are ranked one by one in the first sort.
 
+Passages of PASSAGE words that another document has too are found beside that, in the same sorts: a parse of the words, whose
+triggers are the smallest of the hashes of CORE_WORDS words from each place that a passage has, so that every passage has exactly
+one and equal passages have the same. They are reported, not removed, as many are shorter than LENGTH bytes.
+
 Each batch sorts its own suffixes first and sends one of each rank, so a passage with any number of copies is a few rows of the
 shuffle. Texts are read again for each level, and shuffled only where documents have repeats.
 
@@ -30,15 +34,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, arrow, bounded_batches, chunks, flat, mixed, table
+from .common import Rolling, arrow, bounded_batches, chunks, flat, mixed, table, word_spans
 from .components import Member
 
 LENGTH, WINDOW, EVERY, REACH, BLOCK = 400, 12, 40, 272, 8
+#: Words of a passage, and of the part of it that it is looked up by.
+PASSAGE, CORE_WORDS = 51, 25
 _LIMIT = np.uint64((1 << 64) // EVERY)
-_CORE, _CONTEXT, _SINGLE, _LEN, _AT = (np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
+_WORD, _CORE, _CONTEXT, _SINGLE, _LEN, _AT = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
 
 
 class Parse:
@@ -97,35 +104,84 @@ class Parse:
         return mixed(self.hashes.of(start, start + LENGTH) ^ _SINGLE)
 
 
-def _parsed(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, Parse]]:
+class Passages:
+    """The triggers of the words of a batch: doc, at (the word where the core begins), and lo and hi, the first and the last
+    start of a passage of this trigger. Words are numbered over the batch; base: the first of each document."""
+
+    def __init__(self, hashes: Rolling, data: np.ndarray, offsets: np.ndarray):
+        start, end, doc = word_spans(data, offsets)
+        words = mixed(hashes.of(start, end) + (end - start).astype(np.uint64) * _LEN)
+        self.hashes = Rolling(values=words)
+        self.base = np.searchsorted(doc, np.arange(len(offsets) - 1))
+        n = len(words) - PASSAGE + 1
+        if n <= 0:
+            self.doc = self.at = self.lo = self.hi = np.zeros(0, np.int64)
+            return
+        i = np.arange(len(words) - CORE_WORDS + 1)
+        cores = mixed(self.hashes.of(i, i + CORE_WORDS) ^ _WORD)
+        at = np.arange(n) + sliding_window_view(cores, PASSAGE - CORE_WORDS + 1)[:n].argmin(axis=1)
+        starts = np.flatnonzero(doc[:n] == doc[PASSAGE - 1 :])  # passages that end in their document
+        if not len(starts):
+            self.doc = self.at = self.lo = self.hi = np.zeros(0, np.int64)
+            return
+        head = np.ones(len(starts), bool)
+        head[1:] = (at[starts[1:]] != at[starts[:-1]]) | (doc[starts[1:]] != doc[starts[:-1]])
+        self.lo = starts[head]
+        self.hi = starts[np.append(np.flatnonzero(head)[1:], len(starts)) - 1]
+        self.at, self.doc = at[self.lo], doc[self.lo]
+
+    def core(self) -> np.ndarray:
+        return mixed(self.hashes.of(self.at, self.at + CORE_WORDS) ^ _WORD)
+
+    def context(self) -> np.ndarray:
+        """The rank of all passages of a trigger together."""
+        end = self.hi + PASSAGE
+        return mixed(mixed(self.hashes.of(self.lo, end) ^ _WORD) + (end - self.lo).astype(np.uint64) * _LEN + (self.at - self.lo).astype(np.uint64) * _AT)
+
+    def strings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rank, document and start of each passage of these triggers."""
+        n = self.hi[at] - self.lo[at] + 1
+        start = np.repeat(self.lo[at], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        return mixed(self.hashes.of(start, start + PASSAGE) ^ _SINGLE ^ _WORD), np.repeat(self.doc[at], n), start
+
+
+def _parsed(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, Parse]]:
     data, offsets = flat(batch["text"])
     for i, j in chunks(offsets):
-        yield i, offsets[i : j + 1] - offsets[i], Parse(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        yield i, own, at, Parse(own, at)
 
 
-_ROWS = "core bigint, context bigint, doc bigint, first int, last int, span boolean, known boolean"
+_ROWS = "core bigint, context bigint, doc bigint, first int, last int, span boolean, known boolean, words boolean"
 _NAMES = [c.split()[0] for c in _ROWS.split(", ")]
 
 
-def _table(core: np.ndarray, context: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, span: bool, known: np.ndarray) -> pa.RecordBatch:
+def _table(core: np.ndarray, context: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, span: bool, known: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
     """Rows for the strings that start from first to last in a document. span: they are repeated, core and context say nothing;
-    else they are ranked by (core, context), and known says that their spans have been given."""
-    return pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(np.full(len(core), span)), pa.array(known)], _NAMES)
+    else they are ranked by (core, context), and known says that their spans have been given. words: they are passages, and
+    first and last count words."""
+    return pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(np.full(len(core), span)), pa.array(known), pa.array(words)], _NAMES)
 
 
-def _spans(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
-    return _table(mixed(doc.view(np.uint64)), np.zeros(len(doc), np.uint64), doc, first, last, True, np.ones(len(doc), bool))
+def _spans(doc: np.ndarray, first: np.ndarray, last: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+    return _table(mixed(doc.view(np.uint64)), np.zeros(len(doc), np.uint64), doc, first, last, True, np.ones(len(doc), bool), words)
 
 
-def _ranked(core: np.ndarray, context: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row of each (core, context) of a batch, and the repeats inside the batch as few spans. doc: rows of the batch."""
+def _ranked(core: np.ndarray, context: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, keys: np.ndarray, words: bool) -> Iterator[pa.RecordBatch]:
+    """One row of each (core, context) of a batch, and the repeats inside the batch as few spans. doc: rows of the batch. Of equal
+    passages of one document only the first counts, so that repeats are those of several documents."""
+    if words:
+        order = np.lexsort((first, doc, context, core))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (core[order][1:] != core[order][:-1]) | (context[order][1:] != context[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+        core, context, doc, first, last = (x[order[fresh]] for x in (core, context, doc, first, last))
     order = np.lexsort((context, core))
     same = np.zeros(len(order), bool)
     same[1:] = (core[order][1:] == core[order][:-1]) & (context[order][1:] == context[order][:-1])
     again = same.copy()
     again[:-1] |= same[1:]
     one = order[~same]
-    yield _table(core[one], context[one], keys[doc[one]], first[one], last[one], False, again[~same])
+    yield _table(core[one], context[one], keys[doc[one]], first[one], last[one], False, again[~same], np.full(len(one), words))
     many = order[again]
     if len(many):
         many = many[np.lexsort((first[many], doc[many]))]
@@ -133,9 +189,9 @@ def _ranked(core: np.ndarray, context: np.ndarray, doc: np.ndarray, first: np.nd
         reach = np.maximum.accumulate(b + d * (1 << 40)) - d * (1 << 40)
         begin = np.ones(len(d), bool)
         # every string covers LENGTH bytes, so starts up to that far apart leave no byte between them
-        begin[1:] = (d[1:] != d[:-1]) | (a[1:] > reach[:-1] + LENGTH)
+        begin[1:] = (d[1:] != d[:-1]) | (a[1:] > reach[:-1] + (PASSAGE if words else LENGTH))
         at = np.flatnonzero(begin)
-        yield _spans(keys[d[at]], a[at], np.maximum.reduceat(b, at))
+        yield _spans(keys[d[at]], a[at], np.maximum.reduceat(b, at), np.full(len(at), words))
 
 
 Known = Callable[[np.ndarray], np.ndarray]
@@ -143,11 +199,20 @@ Known = Callable[[np.ndarray], np.ndarray]
 
 def _level(batches: Iterator[pa.RecordBatch], several: list[Known]) -> Iterator[pa.RecordBatch]:
     """Ranks the strings of a level: without filters whole triggers and single strings, with one the blocks of triggers whose
-    core may have several contexts, with two the strings of blocks of which the same holds."""
+    core may have several contexts (and, one by one, the passages of such triggers), with two the strings of blocks of which
+    the same holds."""
     for batch in batches:
         keys = batch["row_key"].to_numpy()
         parts: list[tuple[np.ndarray, ...]] = []
-        for i, offsets, p in _parsed(batch):
+        found: list[tuple[np.ndarray, ...]] = []
+        for i, data, offsets, p in _parsed(batch):
+            if len(several) < 2:
+                w = Passages(p.hashes, data, offsets)
+                if several:
+                    rank, doc, at = w.strings(np.flatnonzero(several[0](w.core().view(np.int64))))
+                    found.append((rank, rank, i + doc, at - w.base[doc], at - w.base[doc]))
+                else:
+                    found.append((w.core(), w.context(), i + w.doc, w.lo - w.base[w.doc], w.hi - w.base[w.doc]))
             if not several:
                 base = offsets[p.doc]
                 parts.append((p.core(), p.context(p.lo, p.hi, p.q), i + p.doc, p.q - p.hi - base, p.q - p.lo - base))
@@ -167,8 +232,9 @@ def _level(batches: Iterator[pa.RecordBatch], several: list[Known]) -> Iterator[
             else:
                 doc = p.doc[t]
                 parts.append((core, context, i + doc, p.q[t] - hi - offsets[doc], p.q[t] - lo - offsets[doc]))
-        if parts:
-            yield from _ranked(*(np.concatenate(x) for x in zip(*parts, strict=True)), keys)
+        for rows, words in ((parts, False), (found, True)):
+            if rows:
+                yield from _ranked(*(np.concatenate(x) for x in zip(*rows, strict=True)), keys, words)
 
 
 def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,6 +250,7 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         core, context = b["core"].to_numpy().view(np.uint64), b["context"].to_numpy().view(np.uint64)
         doc, first, end, known = b["doc"].to_numpy(), b["first"].to_numpy(), b["last"].to_numpy(), b["known"].to_numpy(zero_copy_only=False)
+        words = b["words"].to_numpy(zero_copy_only=False)
         n = len(core)
         equal_core, equal = np.zeros(n, bool), np.zeros(n, bool)
         equal_core[1:] = core[1:] == core[:-1]
@@ -194,19 +261,20 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated = equal.copy()
         repeated[:-1] |= equal[1:]
         if equal[0] and not last["given"]:
-            yield _spans(*(np.array([last[k]]) for k in ("doc", "first", "end")))
+            yield _spans(*(np.array([last[k]]) for k in ("doc", "first", "end", "words")))
         at = np.flatnonzero(repeated & ~known)
         if len(at):
-            yield _spans(doc[at], first[at], end[at])
+            yield _spans(doc[at], first[at], end[at], words[at])
         several = np.unique(core[equal_core & ~equal])
         if len(several):
             z = np.zeros(len(several), np.int64)
-            yield _table(several, np.zeros(len(several), np.uint64), z, z, z, False, np.ones(len(several), bool))
-        last = {"core": core[-1], "context": context[-1], "doc": doc[-1], "first": first[-1], "end": end[-1], "given": bool(repeated[-1] or known[-1])}
+            yield _table(several, np.zeros(len(several), np.uint64), z, z, z, False, np.ones(len(several), bool), z > 0)
+        last = {"core": core[-1], "context": context[-1], "doc": doc[-1], "first": first[-1], "end": end[-1], "words": words[-1], "given": bool(repeated[-1] or known[-1])}
 
 
 def starts(docs: DataFrame) -> DataFrame:
-    """doc (row_key), first, last: spans of starts of strings that also start elsewhere, of documents (row_key, text)."""
+    """doc (row_key), first, last, words: spans of starts of strings that also start elsewhere, and, where words says so, of
+    starts (counted in words) of passages that other documents have, of documents (row_key, text)."""
     several: list[Known] = []
     found = []
     for _ in range(3):
@@ -214,7 +282,7 @@ def starts(docs: DataFrame) -> DataFrame:
         ranked = docs.select("row_key", "text").transform(arrow(lambda it, have=have: _level(it, have), _ROWS))
         ordered = ranked.repartition("core").sortWithinPartitions("core", "context").transform(arrow(_sorted_runs, _ROWS))
         ordered = table(ordered, "ordered")
-        found.append(ordered.where("span").select("doc", "first", "last"))
+        found.append(ordered.where("span").select("doc", "first", "last", "words"))
         several.append(Member(ordered.where("not span").select(F.col("core").alias("key")).distinct()).test())
     return reduce(DataFrame.unionByName, found)
 
@@ -223,8 +291,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the bytes of their spans."""
     for batch in batches:
         data, offsets = flat(batch["text"])
-        removed, spans, sums, kept = [], [], [], []
-        for i, found in enumerate(batch["found"].to_pylist()):
+        removed, spans, sums, kept, passages = [], [], [], [], []
+        for i, (found, said) in enumerate(zip(batch["found"].to_pylist(), batch["said"].to_pylist(), strict=True)):
             raw = data[offsets[i] : offsets[i + 1]]
             cover = np.zeros(len(raw) + 1, np.int32)
             if found:
@@ -238,24 +306,30 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans.append(int(edges.sum()))
             left = raw[~gone].tobytes()
             kept.append(left)
+            upto, runs = -1, 0
+            for first, last in sorted((x["first"], x["last"]) for x in said or ()):
+                runs += first > upto
+                upto = max(upto, last + PASSAGE)
+            passages.append(runs)
             sums.append(hashlib.sha256(left).hexdigest())
         n = np.diff(offsets)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sums, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sums, pa.string()), pa.array(passages, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "kept"])
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay) of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages (runs of words made of passages of PASSAGE words that other
+    documents have too, whatever their bytes), kept (the bytes that stay) of every document."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row_key"))
     spans = starts(rows)
     # at most as many spans as the document has strings
-    found = table(spans.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("found")), "spans")
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+    found = table(spans.groupBy("doc").agg(*(F.collect_set(F.when(kind, F.struct("first", "last"))).alias(c) for c, kind in (("found", ~F.col("words")), ("said", F.col("words"))))), "spans")
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, kept binary"
     # only documents that may have spans are shuffled to them
     touched = Member(found.select(F.col("doc").alias("key"))).test()
     may = lambda wanted: rows.transform(arrow(lambda it: (b.filter(pa.array(touched(b["row_key"].to_numpy()) == wanted)) for b in it), rows.schema))
-    met = may(True).join(found.hint("merge"), F.col("row_key") == F.col("doc"), "left").select("doc_id", "text", "found")
-    rest = may(False).select("doc_id", "text", F.lit(None).cast(found.schema["found"].dataType).alias("found"))
+    met = may(True).join(found.hint("merge"), F.col("row_key") == F.col("doc"), "left").select("doc_id", "text", "found", "said")
+    rest = may(False).select("doc_id", "text", *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("found", "said")))
     return met.unionByName(rest).transform(arrow(_cut, schema))
 
 

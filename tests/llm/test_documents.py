@@ -170,10 +170,33 @@ def test_repeated_passages(docs, none):
                 gone[k : k + n] = b"\1" * n
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         want[i, len(b), sum(gone), sum(g and (not k or not gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()] += 1
-    assert key(pfp.digest(docs).collect()) == want
+    assert key(pfp.digest(docs).drop("n_passages").collect()) == want
     assert pfp.digest(none).count() == 0
 
 
+def test_passages_of_words(spark):
+    """Passages of 51 words in several documents are reported, however few bytes they have and whatever stands between words; 50
+    words, and what only one document has twice, are not."""
+    r = random.Random(17)
+    words = lambda n, k=3: [("%0" + str(k) + "d") % r.randrange(10**k) for _ in range(n)]
+    long, short, own = words(51), words(50), words(60)
+    rows = [(i, " ".join([*words(r.randrange(90), 6), *long, *words(r.randrange(90), 6)])) for i in range(40)]
+    rows += [(100 + i, " ".join([*words(30, 6), *short, *words(30, 6)])) for i in range(20)]
+    rows += [(200, " ".join([*own, *words(9, 6), *own])), (201, "\n".join(long)), (202, " ".join(long[:50])), (203, " ".join([*long, *words(70, 6), *long])), (204, " ".join(words(400, 6))), (205, None), (206, "")]
+    rows += [(300, " ".join(w := words(70, 6))), (301, " ".join(w)), (302, " ".join([*w[:55], *words(3, 6), *w[4:60]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    count = collections.defaultdict(set)
+    for i, t in rows:
+        w = (t or "").split()
+        for k in range(len(w) - pfp.PASSAGE + 1):
+            count[tuple(w[k : k + pfp.PASSAGE])].add(i)
+    want = {i: any(len(count[tuple(w[k : k + pfp.PASSAGE])]) > 1 for k in range(len(w) - pfp.PASSAGE + 1)) for i, t in rows for w in [(t or "").split()]}
+    for n in (1, 7):
+        got = {x.doc_id: x.n_passages for x in pfp.digest(df.repartition(n)).collect()}
+        assert {i: x > 0 for i, x in got.items()} == want
+        assert got[0] == got[201] == got[203] == got[300] == 1 and got[200] == got[100] == 0
+
+
 def test_token_files(docs, none):
     from tokenizers import Tokenizer
 
