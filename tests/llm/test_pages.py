@@ -41,6 +41,41 @@ def test_main_text_of_pages_with_many_elements(spark):
     assert got == {i: f"Words of {i}, and more of {i}." for i in range(5)} | {10 + i: f"Words of {i}." for i in range(5)}
 
 
+def test_neutral_names(spark):
+    """Without article, main or telling names the alignment alone finds the content: what is constant goes, what varies most
+    stays. No wrapper, no such result."""
+    page = "<body><div class='q1'><p>Start</p><p>Topics</p></div><div class='q2'><p>All rights</p></div><div class='q3'><h2>Title {n}</h2><p>Share this page</p><p>Body {n} has its own words, {m}.</p></div><div class='q4'><p>Offer {n}</p></div></body>"
+    rows = [(i, "https://plain.example.com/%d" % i, page.format(n=i, m=i * i)) for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in wrapper.main_text(df).collect()}
+    assert got == {i: f"Title {i}\nBody {i} has its own words, {i * i}." for i in range(9)}
+    assert all(wrapper.extract(h, None) != got[i] for i, _, h in rows)
+
+
+def test_constants_of_any_number(spark):
+    """A slot with hundreds of constant texts loses them all."""
+    same = "".join(f"<p>same {k}</p>" for k in range(300))
+    rows = [(i, "https://many.example.com/%d" % i, f"<body><div class='a'>{same}<p>own words of page {i} and no others</p></div></body>") for i in range(6)]
+    got = {r.text for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {f"own words of page {i} and no others" for i in range(6)}
+
+
+def test_deep_pages(spark):
+    """Elements nested thousands deep, alone and on a host."""
+    deep = lambda n, t: "<div>" * n + f"<p>{t}</p>" + "</div>" * n
+    rows = [(i, "https://deep.example.com/", deep(5000, f"text {i}")) for i in range(4)] + [(9, "https://other.example.com/", deep(5000, "text 9"))]
+    got = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()}
+    assert got == {i: f"text {i}" for i in (0, 1, 2, 3, 9)}
+
+
+def test_markup():
+    text = lambda x: wrapper.extract(x, None)
+    assert text('<p>ok</p><a href="foo>text</a><p>after</p>') == "ok\ntext\nafter"
+    assert text('<p title="a > b">x</p><img alt=\'>\'/><p>y') == "x\ny"
+    assert text("<header><h1>Site</h1></header><article><header><h1>Title</h1><p>by line</p></header><p class='legal'>The law says so.</p><div class='related'>more</div><p>End</p></article>") == "Title\nThe law says so.\nEnd"
+    assert text("<article><p>a<br/>b</p><div class='ad'>buy</div></article>") == "a\nb"
+
+
 def test_rules_and_links(spark):
     link = '<a href="https://{}/x">x</a>'
     rows = [
