@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,12 +27,14 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see: the one in spark.checkpoint.dir; where that is unset (tests on one
-    machine), a temporary one that is then set as the checkpoint folder."""
+    """A folder that the driver and all executors see: the one in spark.checkpoint.dir; where that is unset and the driver runs
+    all tasks itself (tests), a temporary one that is then set as the checkpoint folder. On a cluster it must be set."""
     if found := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     if (kept := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         return kept.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="platter-")
     spark.sparkContext.setCheckpointDir(made)
     return f"file://{made}"

@@ -10,7 +10,7 @@
    half is drawn from a multivariate hypergeometric distribution, so that quotas are exact at every level, and the two halves
    are split again, down to the shards.
 4. A shard's blocks of a source are the next ones of the source's permutation, hence disjoint; inside a shard a keyed hash
-   gives the order. Permutations are Feistel networks with cycle walking: no list of blocks is ever sorted or held.
+   gives the order. The mix lies by shard in that order; a document that two blocks share stays whole in the shard of its first. Permutations are Feistel networks with cycle walking: no list of blocks is ever sorted or held.
 
 Only totals by source reach the driver (checked against MOST_SOURCES); the offsets of documents inside a source are sums over
 bins of the hash, so the hot source is spread over as many tasks as the rest.
@@ -38,8 +38,9 @@ BLOCK_WORDS = 1024
 #: Bins of the hash order for each source, for the sums that give a document its offset.
 BINS = 4096
 MOST_SOURCES = 1_000_000
-#: Output shards: at least FEWEST_SHARDS, and so many that none holds more than about SHARD_WORDS words.
-FEWEST_SHARDS, SHARD_WORDS = 64, 1 << 26
+#: Output shards: at least FEWEST_SHARDS, and so many that none holds more than about SHARD_WORDS words, as long as the table of
+#: quotas has at most MOST_QUOTAS numbers; with more sources shards get larger instead.
+FEWEST_SHARDS, SHARD_WORDS, MOST_QUOTAS = 64, 1 << 26, 1 << 24
 
 
 def shares(sizes: Sequence[int], weights: Sequence[float], total: float, most: float) -> list[float]:
@@ -124,7 +125,7 @@ def plan(sources: list[tuple[str | None, int]], seed: int, n_shards: int | None
         whole = int(target * n / size) if size else 0
         tail = round(target - whole * size / n) if size else 0
         out.append({"source": name, "code": i, "source_size": size, "target": float(target), "n_blocks": n, "instances": whole, "tail": tail})
-    n_shards = n_shards or max(FEWEST_SHARDS, -(-int(sum(targets)) // SHARD_WORDS))
+    n_shards = n_shards or max(FEWEST_SHARDS, min(-(-int(sum(targets)) // SHARD_WORDS), MOST_QUOTAS // max(len(sources), 1)))
     quotas = splitting_tree(np.array([s["instances"] + (s["tail"] > 0) for s in out], np.int64), n_shards, seed)
     for s, row in zip(out, quotas, strict=True):
         s["upto"] = [int(x) for x in np.cumsum(row)]
@@ -212,11 +213,13 @@ def spans(documents: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame, seed: int = 20240607) -> DataFrame:
-    """Per document: size, its source's size and target, and the words that the mix takes of it."""
+    """Per document: size, its source's size and target, the words that the mix takes of it, the number of shards that hold
+    some of them, and the first and the last of those shards."""
     documents, blocks = mix(docs, seed)
     documents = table(documents, "placed")
-    taken = spans(documents, blocks).groupBy("code", "h", "twin").agg(F.sum(F.col("stop") - F.col("first")).alias("taken"))
-    return documents.join(taken, ["code", "h", "twin"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    taken = spans(documents, blocks).groupBy("code", "h", "twin").agg(F.sum(F.col("stop") - F.col("first")).alias("taken"), F.size(F.collect_set("shard")).cast("long").alias("n_shards"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
+    found = documents.join(taken, ["code", "h", "twin"], "left")
+    return found.select("doc_id", "size", "source_size", "target", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("taken", "n_shards")), "first_shard", "last_shard")
 
 
 def shards(docs: DataFrame, seed: int = 20240607) -> DataFrame:
@@ -227,40 +230,57 @@ def shards(docs: DataFrame, seed: int = 20240607) -> DataFrame:
     return pieces.withColumn("slot", F.row_number().over(W.partitionBy("shard").orderBy("order", "code", "block", "copy", "h", "twin", "first")))
 
 
+#: A piece of the mix: the document's row and key, its text, and its place: shard, the block's place there, copy and first word.
+_PIECES = ["row", "text", "h", "twin", "shard", "order", "copy", "first"]
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offsets = flat(b["text"])
         at: list[int] = []
         texts: list[str] = []
+        where: list[tuple[int, int, int, int]] = []
         for i, found in enumerate(b["found"].to_pylist()):
             raw = data[offsets[i] : offsets[i + 1]]
             start, end, _ = word_spans(raw, np.array([0, len(raw)]))
             runs: list[list[int]] = []
-            for copy, first, stop in sorted((x["copy"], x["first"], x["stop"]) for x in found):
+            for copy, first, stop, shard, order in sorted((x["copy"], x["first"], x["stop"], x["shard"], x["order"]) for x in found):
                 if runs and runs[-1][0] == copy and runs[-1][2] == first:
                     runs[-1][2] = stop
                 else:
-                    runs.append([copy, first, stop])
-            for _, first, stop in runs:
+                    runs.append([copy, first, stop, shard, order])
+            for copy, first, stop, shard, order in runs:
                 whole = first == 0 and stop == len(start)
                 lo, hi = (0, len(raw)) if whole else (int(start[first]), int(end[stop - 1]))
                 at.append(i)
                 texts.append(raw[lo:hi].tobytes().decode())
+                where.append((shard, order, copy, first))
         if at:
-            yield pa.RecordBatch.from_arrays([b["row"].take(pa.array(at)), pa.array(texts, pa.string())], ["row", "text"])
+            k = pa.array(at)
+            shard, order, copy, first = (pa.array(x, t) for x, t in zip(zip(*where, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True))
+            yield pa.RecordBatch.from_arrays([b["row"].take(k), pa.array(texts, pa.string()), b["h"].take(k), b["twin"].take(k), shard, order, copy, first], _PIECES)
 
 
 def mixed_texts(docs: DataFrame, seed: int = 20240607) -> DataFrame:
     """The mix as documents with the columns of docs: a row for each run of words that it takes of a document in one copy, the
-    whole text where the run is the whole document, with n_chars, if there is one, of the text as it is then."""
+    whole text where the run is the whole document, with n_chars, if there is one, of the text as it is then. Rows lie by shard,
+    and in a shard in the order of the local shuffle."""
+    return placed_texts(docs, seed).select(*docs.columns)
+
+
+def placed_texts(docs: DataFrame, seed: int = 20240607) -> DataFrame:
+    """mixed_texts with the pieces' places: mix_shard and mix_slot, which grows with the place in the shard."""
     bounded_batches(docs.sparkSession)
     # numbering equal rows deals the texts by h; the join by (h, twin) may then stay on that
     docs.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     documents, blocks = mix(docs, seed)
-    taken = spans(documents, blocks).groupBy("h", "twin").agg(F.collect_list(F.struct("copy", "first", "stop")).alias("found"))
+    taken = spans(documents, blocks).groupBy("h", "twin").agg(F.collect_list(F.struct("copy", "first", "stop", "shard", "order")).alias("found"))
     twin = F.row_number().over(W.partitionBy("h").orderBy("h")) - 1
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text", F.col("doc_id").cast("long").alias("doc_id"), "source").withColumn("h", order_key(seed)).withColumn("twin", twin)
-    met = rows.join(taken.hint("merge"), ["h", "twin"]).select("row", "text", "found")
-    out = met.transform(arrow(_pieces, T.StructType([T.StructField("row", met.schema["row"].dataType), T.StructField("text", T.StringType())])))
+    met = rows.join(taken.hint("merge"), ["h", "twin"]).select("row", "text", "h", "twin", "found")
+    kinds = (met.schema["row"].dataType, T.StringType(), T.LongType(), met.schema["twin"].dataType, T.IntegerType(), T.LongType(), T.IntegerType(), T.LongType())
+    out = met.transform(arrow(_pieces, T.StructType([T.StructField(c, kind) for c, kind in zip(_PIECES, kinds, strict=True)])))
+    # a shard in one task: it has at most about SHARD_WORDS words
+    out = out.repartition("shard").sortWithinPartitions("shard", "order", "copy", "h", "twin", "first")
     changed = {"text": F.col("text"), "n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return out.select(*((changed[c] if changed.get(c) is not None else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    return out.select(*((changed[c] if changed.get(c) is not None else F.col(f"row.`{c}`")).alias(c) for c in docs.columns), F.col("shard").alias("mix_shard"), F.col("order").alias("mix_slot"))

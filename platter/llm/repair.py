@@ -19,6 +19,7 @@ any length are whole within one shard; an empty table gives no files and no rows
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -38,8 +39,12 @@ END_ID = 1
 SHARD_TOKENS, STEP = 1 << 20, 4096
 #: A pair is frequent if it makes up this share of the shard's ids, and at least FEWEST of them.
 SHARE, FEWEST = 1 / 8192, 32
-#: Rounds end when one shortens the sequence by less than this part.
+#: Rounds end when one shortens the sequence by less than this part, though some pairs may still be frequent.
 LEAST_GAIN = 0.02
+#: What a vocabulary file must say for texts to be cut at white space and marks before it encodes them; with other settings texts
+#: are encoded whole. (Fixed values of the file format.)
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 #: Words that a worker keeps, and how many words one call encodes.
 MOST_WORDS, JOINED = 800_000, 128
 #: Bytes that one call encodes: the more, the fewer words are looked up again.
@@ -63,6 +68,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        said = json.loads(self.tokenizer.to_str())
+        split = (said["pre_tokenizer"] or {}).get("pretokenizers", [None])
+        self.cut = said["normalizer"] == NORMALIZER and split[0] == PIECES and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in split[1:])
+        self.cut = self.cut and said["model"]["type"] == "BPE" and said["model"].get("end_of_word_suffix") == "</w>" and self.tokenizer.get_vocab_size() < 1 << 16
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # ids that end a piece
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.forget()
@@ -118,6 +127,10 @@ class Encoder:
         letter begins a piece; doing both here lets more words be shared. (Batches that may hold
         names of special tokens keep their case, and their names whole.)"""
         n = len(offsets) - 1
+        if not self.cut:
+            raw = np.ascontiguousarray(data).tobytes()
+            rows = [[*ids, END_ID] for ids in self.whole([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])]
+            return np.array([x for row in rows for x in row], np.uint32), np.array([*map(len, rows)], np.int64)
         names = b"<|" in memoryview(np.ascontiguousarray(data)).tobytes()
         data = data if names else LOWER[data]
         inside = ~IS_SPACE[data]
@@ -332,5 +345,5 @@ def _digests(folder: str):
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Writes all documents, reads the files back, and gives each document's place, count and checksum from them."""
     files = write(docs, folder := new_folder(docs.sparkSession, "tokens"), tokenizer)
-    n = files.count()
-    return placed(files).select("name", "start").repartition(max(n, 1)).transform(arrow(_digests(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"))
+    n, cores = files.count(), docs.sparkSession.sparkContext.defaultParallelism
+    return placed(files).select("name", "start").repartition(max(min(n, max(4 * cores, n // 64)), 1)).transform(arrow(_digests(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"))

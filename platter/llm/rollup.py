@@ -2,9 +2,9 @@
 
 A commit is a batch of events (key, document, change): inserts, deletes and revised counts. Each event becomes signed rows -
 a revision is minus the old count and plus the new one - which are summed by source, language and tokenizer version before
-they leave the task. The additive totals of a batch are stored under the batch's id; the state is the sum over batch ids. A
-batch that is committed again writes the same folder again, so a retry, or a driver that died between writing and answering,
-never counts twice.
+they leave the task. The additive totals of a batch are written to a folder of their own and then published by a marker under
+the batch's id, a file that is made in one step; the state is the sum over the newest marker of each batch id. So a retry never
+counts twice, and a driver that dies at any point leaves the state before or the state after, never one without the batch.
 
 Defined results: a null or empty text counts 0 tokens and still counts as a document; null source, language or version are
 groups of their own; repeated rows count as often as they occur; a batch without rows commits an empty total; extra columns
@@ -13,10 +13,14 @@ are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN
+from .common import WORD_PATTERN, remove
 
 KEYS = ("source", "lang", "tokenizer")
 STATE = "batch_id string, source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint, n_inserts bigint, n_deletes bigint, n_revisions bigint"
@@ -56,18 +60,36 @@ def deltas(events: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """The state in a folder that all executors see: one subfolder of totals for each batch id."""
+    """The state in a folder that all executors see: totals/, a folder for each commit, and commits/, the markers by batch id."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def commit(self, batch_id: str, events: DataFrame) -> None:
         """Writes the batch's totals; an id seen before replaces its own earlier totals and nothing else."""
-        safe = "".join(c if c.isalnum() or c in "-_." else f"%{ord(c):x}" for c in batch_id)
-        deltas(events).withColumn("batch_id", F.lit(batch_id)).select(*(c.split()[0] for c in STATE.split(", "))).write.mode("overwrite").parquet(f"{self.folder}/batch={safe}")
+        key, name = hashlib.sha256(batch_id.encode("utf-8", "surrogatepass")).hexdigest(), f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+        deltas(events).withColumn("batch_id", F.lit(batch_id)).select(*(c.split()[0] for c in STATE.split(", "))).write.parquet(f"{self.folder}/totals/{name}")
+        self._publish(key, name)
+        for old in self._markers().get(key, [])[:-1]:  # the state no longer reads them
+            remove(self.spark, f"{self.folder}/commits/{key}/{old}")
+            remove(self.spark, f"{self.folder}/totals/{old}")
+
+    def _publish(self, key: str, name: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/commits/{key}/{name}")
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(at, False).close()
+
+    def _markers(self) -> dict[str, list[str]]:
+        """The markers of each batch, in order: a few for each commit, so the driver can list them."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/commits/*/*")
+        out: dict[str, list[str]] = {}
+        for x in at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or ():
+            out.setdefault(x.getPath().getParent().getName(), []).append(x.getPath().getName())
+        return {k: sorted(v) for k, v in out.items()}
 
     def batches(self) -> DataFrame:
-        return self.spark.read.schema(STATE).option("recursiveFileLookup", "true").parquet(self.folder)
+        """The published totals of all batches."""
+        paths = [f"{self.folder}/totals/{names[-1]}" for names in self._markers().values()]
+        return self.spark.read.schema(STATE).parquet(*paths) if paths else self.spark.createDataFrame([], STATE)
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer and the sums over all batches, without keys that nothing is left of."""

@@ -244,7 +244,45 @@ def test_mix(docs, none):
     out = mixing.mixed_texts(docs)
     assert out.columns == docs.columns
     assert sum(size(r.text) for r in out.collect()) == sum(r.taken for r in rows)
-    assert mixing.digest(none).count() == 0
+    assert mixing.digest(none).count() == 0 and mixing.mixed_texts(none).count() == 0
+    assert all((r.n_shards > 0) == (r.taken > 0) == (r.first_shard is not None) for r in rows)
+
+
+def test_mix_lies_by_shard(spark):
+    """Quotas, disjointness and the local order against what the plan says, with words that occur once."""
+    n = iter(range(10**9))
+    rows = [(i, " ".join("w%d" % next(n) for _ in range(3000)), "src%d" % (i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    documents, blocks = mixing.mix(df, n_shards=7)
+    b = blocks.collect()
+    planned = mixing.plan([(s, sum(len(t.split()) for _, t, x in rows if x == s)) for s in ("src0", "src1", "src2")], 20240607, 7)
+    for s in planned:  # each block instance is in one shard, each shard has its quota
+        own = [x for x in b if x.code == s["code"]]
+        assert len({(x.block, x.copy) for x in own}) == len(own) == s["instances"] + (s["tail"] > 0)
+        held = collections.Counter(x.shard for x in own)
+        assert [held[k] for k in range(7)] == list(np.diff([0, *s["upto"]]))
+    total = collections.Counter(x.shard for x in b)
+    assert max(total.values()) - min(total.values()) <= 1
+    pieces = mixing.shards(df).collect()
+    where = collections.defaultdict(set)
+    for p in mixing.shards(df.where("doc_id >= 0")).collect():
+        where[p.doc_id].add(p.shard)
+    got = {r.doc_id: (r.n_shards, r.first_shard, r.last_shard) for r in mixing.digest(df).collect()}
+    assert all(got[i] == (len(x), min(x), max(x)) for i, x in where.items())
+    by = collections.defaultdict(list)
+    for p in pieces:
+        by[p.shard].append(p.slot)
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in by.values())
+    # the texts lie by shard, in the order of the shuffle, and no shard keeps the order of the source
+    out = mixing.placed_texts(df)
+    parts = out.select("mix_shard", "mix_slot", "doc_id", "text", F.spark_partition_id().alias("part")).collect()
+    assert all(len({x.part for x in parts if x.mix_shard == k}) == 1 for k in {x.mix_shard for x in parts})
+    at = collections.defaultdict(list)
+    for x in parts:
+        at[x.mix_shard].append(x.mix_slot)
+    assert all(v == sorted(v) for v in at.values()) and len(at) > 20
+    words = collections.Counter(w for x in parts for w in x.text.split())
+    assert max(words.values()) <= 2 and sum(words.values()) == sum(r.taken for r in mixing.digest(df).collect())
 
 
 def test_splitting_tree():
@@ -320,8 +358,20 @@ def test_rollup(spark, docs, tmp_path):
     before = key(state.totals().collect())
     state.commit("one", first)
     assert key(state.totals().collect()) == before
+    # a driver that dies before it publishes has changed nothing
+    publish, rollup.Rollup._publish = rollup.Rollup._publish, lambda *a: (_ for _ in ()).throw(KeyboardInterrupt)
+    with pytest.raises(KeyboardInterrupt):
+        state.commit("one", rollup.inserts(rollup.counted(docs.limit(3), "words-1")))
+    rollup.Rollup._publish = publish
+    assert key(state.totals().collect()) == before
     state.commit("two", rollup.deletes(rollup.counted(docs, "words-1")))
     assert state.totals().count() == 0
+    names = rollup.Rollup(spark, f"file://{tmp_path}/names")
+    assert names.totals().count() == 0
+    few = rollup.inserts(rollup.counted(docs, "words-1"))
+    for name in (" b0", "\u20b0", "a/b", "a%2fb"):
+        names.commit(name, few)
+    assert names.totals().agg(F.sum("n_docs")).first()[0] == 4 * docs.count()
     state.commit("three", rollup.inserts(rollup.counted(docs, "words-1")))
     state.commit("four", rollup.revisions(rollup.counted(docs, "words-1").withColumn("was", F.col("tokens")).withColumn("tokens", F.col("tokens") * 2)))
     want = collections.Counter()
