@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset, as in tests, a temporary one that is set from then on."""
+    """The folder named by spark.checkpoint.dir; where that is unset and the driver runs all tasks itself, as in tests, a temporary
+    one that is set from then on. On a cluster it must be set."""
     if found := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return found.rstrip("/")
     if (kept := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         return kept.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(made := tempfile.mkdtemp(prefix="platter-"))
     return f"file://{made}"
 

@@ -34,16 +34,17 @@ def _each(df: DataFrame, schema: T.StructType, of) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("raw"))
+    """Contents; a null text is an empty one."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
 
 
-@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS size, true AS same FROM documents")
+@query("SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS size, true AS same FROM documents")
 def lzh_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed and expanded again."""
     return _each(_docs(spark, sf_dir), _result(doc_id=_L, size=_L, same=_B), lambda r: (r.doc_id, len(r.raw), lzh.expand(lzh.pack(bytes(r.raw)), len(r.raw)) == bytes(r.raw)))
 
 
-@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS size, true AS same FROM documents")
+@query("SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS size, true AS same FROM documents")
 def lzw_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C08."""
     return _each(_docs(spark, sf_dir), _result(doc_id=_L, size=_L, same=_B), lambda r: (r.doc_id, len(r.raw), zips.uncompress(zips.compress(bytes(r.raw))) == bytes(r.raw)))
@@ -65,7 +66,7 @@ def _sectors(raw: bytes) -> list[list[bytes]]:
     return [parts[i : i + 11] for i in range(0, len(parts), 11)]
 
 
-@query("SELECT doc_id, ((octet_length(encode(text)) + 511) // 512)::BIGINT AS sectors, true AS same FROM documents")
+@query("SELECT doc_id, ((octet_length(encode(coalesce(text, ''))) + 511) // 512)::BIGINT AS sectors, true AS same FROM documents")
 def mfm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents as sectors of tracks, encoded and decoded."""
 
@@ -80,7 +81,7 @@ def mfm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each(_docs(spark, sf_dir), _result(doc_id=_L, sectors=_L, same=_B), of)
 
 
-@query("SELECT doc_id, ((octet_length(encode(text)) + 511) // 512)::BIGINT AS found, 0::BIGINT AS lost FROM documents")
+@query("SELECT doc_id, ((octet_length(encode(coalesce(text, ''))) + 511) // 512)::BIGINT AS found, 0::BIGINT AS lost FROM documents")
 def pll_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks as flux series at a speed 3 % off, kept in an SCP image, and decoded by the loop."""
     hz = 1 / mfm.SCP_UNIT
@@ -122,10 +123,10 @@ def _volume() -> Column:
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", "source", "lang", F.concat(F.lit("document "), F.col("doc_id"), F.lit(".text")))
-    return read(spark, sf_dir, "documents").select(_volume().alias("volume"), path.alias("path"), F.col("text").cast("binary").alias("content"))
+    return read(spark, sf_dir, "documents").select(_volume().alias("volume"), path.alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
 
 
-_FILES = f"(SELECT 'V' || (doc_id // {PER_VOLUME}) AS volume, concat_ws('/', source, lang, 'document ' || doc_id || '.text') AS path, text FROM documents)"
+_FILES = f"(SELECT 'V' || (doc_id // {PER_VOLUME}) AS volume, concat_ws('/', source, lang, 'document ' || doc_id || '.text') AS path, coalesce(text, '') AS text FROM documents)"
 
 
 def _back(made: DataFrame, volume: Column) -> DataFrame:

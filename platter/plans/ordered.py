@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from platter.operators.chains import hops
-from platter.operators.ranks import islands, with_rank
+from platter.operators.ranks import islands, with_rank, with_sum
 
 from .registry import query, read
 
@@ -36,12 +36,7 @@ def block_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events").where("event_type <> 'error'").select(F.col("event_id").alias("block"))
     free = with_rank(events, (F.col("block") < 500).cast("int"), "block", name="k")
     files = read(spark, sf_dir, "documents").select("doc_id", (1 + F.floor(F.octet_length("text") / 4096)).cast("long").alias("need"))
-    # offsets: sums over ranges of the order, then inside each range
-    ranked = with_rank(files, "doc_id", name="at").withColumn("run", F.floor(F.col("at") / 4096))
-    runs = ranked.groupBy("run").agg(F.sum("need").alias("n"))
-    base = runs.select("run", (F.sum("n").over(W.orderBy("run")) - F.col("n")).alias("base"))
-    inside = F.sum("need").over(W.partitionBy("run").orderBy("at")) - F.col("need")
-    placed = ranked.withColumn("inside", inside).join(F.broadcast(base), "run").withColumn("first", F.col("base") + F.col("inside"))
+    placed = with_sum(files, "need", "doc_id", name="first")
     fits = placed.where(F.col("first") + F.col("need") <= free.count())
     each = fits.select("doc_id", F.posexplode(F.expr("sequence(first, first + need - 1)")).alias("seq", "k"))
     return each.join(free, "k").select("doc_id", "block", F.col("seq").cast("long").alias("seq"))

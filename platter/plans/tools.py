@@ -51,7 +51,10 @@ def size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", tooling.size_label(F.col("o_orderkey") * 1234567).alias("label"))
 
 
-@query()
+@query(r"""
+WITH r AS (SELECT doc_id, concat_ws('/', source, lang) AS dir, regexp_extract(text, '^\s*(\S{1,40})', 1) AS name FROM documents),
+c AS (SELECT *, regexp_replace(strip_accents(name), '[^\x00-\x7F]', '', 'g') AS clean FROM r)
+SELECT doc_id, dir, name, clean, count(*) OVER (PARTITION BY dir, clean) > 1 AS meets FROM c WHERE clean <> '' AND clean <> name""")
 def ascii_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that change when only ASCII is kept, longest first, and which of them meet in a directory."""
     name = F.regexp_extract("text", r"^\s*(\S{1,40})", 1)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from platter.functions import names
-from platter.operators.ranks import with_rank
+from platter.operators import trees
 from platter.volume import virtual
 
 from .registry import query, read
@@ -31,9 +31,8 @@ FROM (SELECT size, array_to_string(p[:i], '/') AS dir, i::BIGINT AS depth FROM (
 GROUP BY dir, depth""")
 def volume_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items and bytes of every directory, all levels."""
-    each = virtual.prefixes(virtual.documents(read(spark, sf_dir, "documents")))
-    out = each.groupBy("dir", "depth").agg(F.count("*").alias("items"), F.sum("size").alias("bytes"), F.max("size").alias("largest"))
-    return out.withColumn("label", F.concat(F.round(F.col("bytes") / 1048576.0).cast("long").cast("string"), F.lit(" MB"))).orderBy("dir")
+    out = trees.rolled_up(virtual.documents(read(spark, sf_dir, "documents"))).drop("volume")
+    return out.withColumn("label", F.concat(F.round(F.col("bytes") / 1048576.0).cast("long").cast("string"), F.lit(" MB")))
 
 
 @query(f"SELECT path, parent, name, is_dir, size, depth FROM {_tree(_PAGES)} t")
@@ -68,8 +67,9 @@ def bounded_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first entries of all volumes together, parents before children; a budget used up says so."""
     both = virtual.documents(read(spark, sf_dir, "documents")).unionByName(virtual.pages(read(spark, sf_dir, "pages")))
     rows = virtual.tree(both).where("depth <= 12").select("volume", "path", "is_dir", "depth")
-    ranked = with_rank(rows, "volume", "path")
-    return ranked.where(F.col("rank") < BUDGET).withColumn("truncated", F.lit(ranked.count() >= BUDGET))
+    first = rows.orderBy("volume", "path").limit(BUDGET)  # the window sees no more than these
+    w = W.orderBy("volume", "path")
+    return first.withColumns({"rank": (F.row_number().over(w) - 1).cast("long"), "truncated": F.count("*").over(W.partitionBy()) >= BUDGET})
 
 
 @query(f"""
@@ -120,14 +120,15 @@ def plain_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT doc_id, source AS dir, upper(lang) || doc_id AS name FROM documents), w AS (SELECT * FROM e WHERE doc_id % 7 = 0)
-SELECT w.doc_id, w.dir, 'x' || w.name AS renamed, EXISTS (SELECT 1 FROM e WHERE e.dir = w.dir AND lower(e.name) = lower('x' || w.name) AND e.doc_id <> w.doc_id) AS collides FROM w
-UNION ALL SELECT w.doc_id, w.dir, lower(w.name), EXISTS (SELECT 1 FROM e WHERE e.dir = w.dir AND lower(e.name) = lower(w.name) AND e.doc_id <> w.doc_id) FROM w""")
+WITH w AS (SELECT doc_id, source AS dir, upper(lang) || doc_id AS name FROM documents)
+SELECT w.doc_id, w.dir, 'x' || w.name AS renamed, EXISTS (SELECT 1 FROM w e WHERE e.dir = w.dir AND lower(e.name) = lower('x' || w.name) AND e.doc_id <> w.doc_id) AS collides FROM w
+UNION ALL SELECT w.doc_id, w.dir, lower(w.name), EXISTS (SELECT 1 FROM w e WHERE e.dir = w.dir AND lower(e.name) = lower(w.name) AND e.doc_id <> w.doc_id) FROM w
+UNION ALL SELECT w.doc_id, w.dir, left(w.name, 4), EXISTS (SELECT 1 FROM w e WHERE e.dir = w.dir AND lower(e.name) = lower(left(w.name, 4)) AND e.doc_id <> w.doc_id) FROM w""")
 def rename_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Renames that would meet another entry; an entry may change its own case."""
     e = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("dir"), F.concat(F.upper("lang"), F.col("doc_id").cast("string")).alias("name"))
-    w = e.where("doc_id % 7 = 0")
-    asked = w.select("doc_id", "dir", F.concat(F.lit("x"), F.col("name")).alias("renamed")).unionByName(w.select("doc_id", "dir", F.lower("name").alias("renamed")))
+    wanted = F.array(F.concat(F.lit("x"), F.col("name")), F.lower("name"), F.substring("name", 1, 4))
+    asked = e.select("doc_id", "dir", F.explode(wanted).alias("renamed"))
     # how many entries have a name, and one of them, are enough to tell whether another one has it
     held = e.groupBy("dir", F.lower("name").alias("folded")).agg(F.count("*").alias("n"), F.min("doc_id").alias("one"))
     met = asked.withColumn("folded", F.lower("renamed")).join(held, ["dir", "folded"], "left")
@@ -136,13 +137,11 @@ def rename_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH t AS (SELECT * FROM {_tree(_DOCS)} x), gone AS (SELECT DISTINCT source || '/' || lang AS dir FROM documents WHERE doc_id % 97 = 0)
+WITH t AS (SELECT * FROM {_tree(_DOCS)} x), gone AS (SELECT DISTINCT source || '/' || lang AS dir FROM documents WHERE lang = 'de' UNION SELECT DISTINCT source FROM documents WHERE source LIKE '%3')
 SELECT path, is_dir, size FROM t WHERE NOT EXISTS (SELECT 1 FROM gone WHERE t.path = gone.dir OR starts_with(t.path, gone.dir || '/'))""")
 def delete_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left when directories go with all that is in them."""
     docs = read(spark, sf_dir, "documents")
     t = virtual.tree(virtual.documents(docs))
-    gone = docs.where("doc_id % 97 = 0").select(F.concat_ws("/", "source", "lang").alias("gone")).distinct()
-    # a deleted directory is the path itself or one of its prefixes; here it has two components, so one key does
-    key = F.array_join(F.slice(virtual.parts(F.col("path")), 1, 2), "/")
-    return t.withColumn("gone", key).join(gone, "gone", "left_anti").select("path", "is_dir", "size")
+    gone = docs.where("lang = 'de'").select(F.concat_ws("/", "source", "lang").alias("gone")).union(docs.where("source like '%3'").select("source"))
+    return trees.without(t, gone.distinct()).select("path", "is_dir", "size")
