@@ -129,10 +129,10 @@ def rename_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("dir"), F.concat(F.upper("lang"), F.col("doc_id").cast("string")).alias("name"))
     wanted = F.array(F.concat(F.lit("x"), F.col("name")), F.lower("name"), F.substring("name", 1, 4))
     asked = e.select("doc_id", "dir", F.explode(wanted).alias("renamed"))
-    # how many entries have a name, and one of them, are enough to tell whether another one has it
-    held = e.groupBy("dir", F.lower("name").alias("folded")).agg(F.count("*").alias("n"), F.min("doc_id").alias("one"))
+    # the least and the largest id of a name are enough to tell whether another one has it
+    held = e.groupBy("dir", F.lower("name").alias("folded")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     met = asked.withColumn("folded", F.lower("renamed")).join(held, ["dir", "folded"], "left")
-    other = F.coalesce((F.col("n") > 1) | (F.col("one") != F.col("doc_id")), F.lit(False))
+    other = F.coalesce((F.col("low") != F.col("doc_id")) | (F.col("high") != F.col("doc_id")), F.lit(False))
     return met.select("doc_id", "dir", "renamed", other.alias("collides"))
 
 

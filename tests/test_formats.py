@@ -346,3 +346,49 @@ def test_all_tracks_of_a_long_text_are_found(monkeypatch):
     monkeypatch.setattr(images, "_each", lambda docs, schema, of: of)
     sectors = (168 * 100 + 1) * 11
     assert images.pll_decode(None, "")(SimpleNamespace(doc_id=1, raw=bytes(sectors * 512))) == (1, sectors, 0)
+
+
+def test_packed_cells():
+    assert mfm.pack_cells(b"\xa5") == bytes([0b10011001, 0b01100110, 0]) and mfm.pack_cells(b"") == b"\0"
+    assert mfm.unpack_cells(bytes([0b10011001, 0b01100110, 0])) == b"\xa5"
+    assert mfm.unpack_cells(bytes([0b10011011])) == b"\xa0"  # a code of three ends it too
+
+
+def test_checksums_by_blocks():
+    import random
+
+    from platter.functions import checksums
+
+    r = random.Random(4)
+    raw = [r.randbytes(n) for n in (0, 1, 63, 64, 65, 127, 128, 129, 1000, 5000)] + [b"\0" * 200, b"123456789"]
+    assert checksums.crc16_many(raw).tolist() == [checksums.crc16_of(x) for x in raw]
+    assert checksums.crc16_of(b"123456789") == 0xBB3D
+
+
+def test_members_are_stored_or_packed():
+    import random
+
+    r = random.Random(2)
+    for content in (b"", b"a", b"the same words " * 400, r.randbytes(3000)):
+        raw = lzh.archive([("f", content)])
+        m = lzh.members(raw)[0]
+        assert m.size == len(content) and m.packed <= m.size and (m.method == "-lh0-") == (m.packed == m.size)
+
+
+def test_extracted_files(spark, tmp_path):
+    from platter.operators import extract
+
+    rows = [("a/b.txt", b"x", "line"), ("../../c", b"", None), ("d", None, None), ("", b"no", None)]
+    df = spark.createDataFrame(rows, "path string, content binary, sidecar string").repartition(2)
+    got = extract.to_folder(df, f"file://{tmp_path}/out").collect()
+    assert sorted((r.path, r["size"]) for r in got) == [("a/b.txt", 1), ("c", 0), ("d", 0)]
+    found = {str(p.relative_to(tmp_path / "out")): p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file() and not p.name.startswith(".")}
+    assert found == {"a/b.txt": b"x", "a/b.txt.uaem": b"line", "c": b"", "d": b""}
+
+
+def test_rings_and_lists(spark):
+    from platter.operators.chains import hops
+
+    links = [(i, i + 1) for i in range(1, 7)] + [(7, None)] + [(100 + i, 100 + (i + 1) % 3) for i in range(3)]
+    got = {r.node: (r.root, r.hop) for r in hops(spark.createDataFrame(links, "node long, next long")).collect()}
+    assert got == {i: (1, i - 1) for i in range(1, 8)}
