@@ -34,11 +34,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, arrow, bounded_batches, chunks, flat, mixed, table, word_spans
+from .common import Rolling, arrow, bounded_batches, chunks, flat, mixed, per_doc, table, word_spans
 from .components import Member
 
 LENGTH, WINDOW, EVERY, REACH, BLOCK = 400, 12, 40, 272, 8
@@ -293,51 +294,61 @@ def starts(docs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the bytes of their spans."""
+def _listed(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last of all spans of a column of lists."""
+    row, spans = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+    return row, *(spans.field(c).to_numpy().astype(np.int64) for c in ("first", "last"))
+
+
+def _cut(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
+    """Texts without the bytes of their spans; texts: with these bytes."""
     for batch in batches:
         data, offsets = flat(batch["text"])
-        removed, spans, sums, kept, passages = [], [], [], [], []
-        for i, (found, said) in enumerate(zip(batch["found"].to_pylist(), batch["said"].to_pylist(), strict=True)):
-            raw = data[offsets[i] : offsets[i + 1]]
-            cover = np.zeros(len(raw) + 1, np.int32)
-            if found:
-                at = np.array([(x["first"], x["last"] + LENGTH) for x in found], np.int64)
-                np.add.at(cover, at[:, 0], 1)
-                np.subtract.at(cover, at[:, 1], 1)
-            gone = np.cumsum(cover)[:-1] > 0
-            edges = gone.copy()
-            edges[1:] &= ~gone[:-1]
-            removed.append(int(gone.sum()))
-            spans.append(int(edges.sum()))
-            left = raw[~gone].tobytes()
-            kept.append(left)
-            upto, runs = -1, 0
-            for first, last in sorted((x["first"], x["last"]) for x in said or ()):
-                runs += first > upto
-                upto = max(upto, last + PASSAGE)
-            passages.append(runs)
-            sums.append(hashlib.sha256(left).hexdigest())
-        n = np.diff(offsets)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sums, pa.string()), pa.array(passages, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "kept"])
-
-
-def removed(docs: DataFrame) -> DataFrame:
+        size = np.diff(offsets)
+        row, first, last = _listed(batch["found"])
+        cover = np.zeros(len(data) + 1, np.int32)
+        np.add.at(cover, offsets[row] + first, 1)
+        np.subtract.at(cover, offsets[row] + last + LENGTH, 1)
+        gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
+        edges = gone.copy()
+        edges[1:] &= ~gone[:-1]
+        heads = offsets[:-1][size > 0]
+        edges[heads] = gone[heads]
+        less = per_doc(gone, offsets)
+        left, at = data[~gone], np.concatenate([[0], np.cumsum(size - less)])
+        view = memoryview(left)
+        sums = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        row, first, last = _listed(batch["said"])
+        order = np.lexsort((first, row))
+        own = row[order].astype(np.int64) << 40
+        begin = np.ones(len(order), bool)
+        begin[1:] = (own + first[order])[1:] > np.maximum.accumulate(own + last[order] + PASSAGE)[:-1]
+        passages = np.bincount(row[order][begin], minlength=len(size))
+        columns = [batch["doc_id"], pa.array(size), pa.array(less), pa.array(per_doc(edges, offsets)), pa.array(sums, pa.string()), pa.array(passages.astype(np.int64))]
+        if texts:
+            columns.append(pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(left)]).cast(pa.binary()))
+        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in (_DIGEST + _KEPT if texts else _DIGEST).split(", ")])
+
+
+_DIGEST = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint"
+_KEPT = ", kept binary"
+
+
+def removed(docs: DataFrame, texts: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages (runs of words made of passages of PASSAGE words that other
-    documents have too, whatever their bytes), kept (the bytes that stay) of every document."""
+    documents have too, whatever their bytes) of every document and, with texts, kept (the bytes that stay)."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row_key"))
     spans = starts(rows)
     # at most as many spans as the document has strings
     found = table(spans.groupBy("doc").agg(*(F.collect_set(F.when(kind, F.struct("first", "last"))).alias(c) for c, kind in (("found", ~F.col("words")), ("said", F.col("words"))))), "spans")
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, kept binary"
     # only documents that may have spans are shuffled to them
     touched = Member(found.select(F.col("doc").alias("key"))).test()
     may = lambda wanted: rows.transform(arrow(lambda it: (b.filter(pa.array(touched(b["row_key"].to_numpy()) == wanted)) for b in it), rows.schema))
     met = may(True).join(found.hint("merge"), F.col("row_key") == F.col("doc"), "left").select("doc_id", "text", "found", "said")
     rest = may(False).select("doc_id", "text", *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("found", "said")))
-    return met.unionByName(rest).transform(arrow(_cut, schema))
+    return met.unionByName(rest).transform(arrow(lambda it: _cut(it, texts), _DIGEST + _KEPT if texts else _DIGEST))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return removed(docs).drop("kept")
+    return removed(docs, texts=False)

@@ -171,6 +171,7 @@ def test_repeated_passages(docs, none):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         want[i, len(b), sum(gone), sum(g and (not k or not gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()] += 1
     assert key(pfp.digest(docs).drop("n_passages").collect()) == want
+    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in pfp.removed(docs).collect())
     assert pfp.digest(none).count() == 0
 
 
