@@ -12,16 +12,19 @@
 3. In a bucket each node is compared with one centre, not with all others. Links found give components, and from here on only
    pairs between components count. A bucket whose nodes fall in several components is cut into cells: some of its outsiders
    (nodes that are not of its largest component) and some of all its nodes, each so few that a cell is a small batch. A cell
-   compares the bitmaps XX First each outsider tries its likeliest
-   partner of each other component, which joins most of what belongs together; then all pairs left between components are
-   verified. After that no link between components can be missed, so components are exact.
+   compares the bitmaps of its nodes. First each outsider tries its likeliest partner of each other component, which joins most
+   of what belongs together; then all pairs left between components are verified. After that no link between components can be
+   missed, so components are exact.
 4. Every node has a bitmap of its tokens, 4 to 8 bits a token. Bits of one node that the other lacks are tokens that it lacks, so
    pairs with too many of them are out for certain. Verification of the rest compares whole sets: their texts are found through
    a membership filter of fixed size, and a centre meets its members in a stream, over as many tasks as its group needs.
+5. All links lie inside components. To count them, each component is cut into slots of a bounded number of nodes and tokens, and
+   every two slots meet in one cell, so each pair of nodes is compared once, whole sets against whole sets. A cell gives one sum a
+   node, never its pairs. The work grows with the square of a component's different sets, copies not counted.
 
 Defined results: a null or blank text has an empty set, n_shingles 0, and is its own component; fewer than five words give one
-shingle of them all; null ids count as no id (a component of only null ids has null); repeated rows are equal sets; an empty
-table gives no rows; extra columns are ignored.
+shingle of them all; null ids count as no id (a component of only null ids has null); repeated rows are equal sets, so they
+link with each other; an empty set has 0 links; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,6 +56,8 @@ OUTSIDERS, NODES = 128, 256
 #: Bytes of a bitmap in a cell: longer ones are or-ed into this length, which rules out less, but nothing wrongly. Buckets of
 #: up to FEW nodes have few pairs anyway, and their bitmaps are compared later.
 CELL_BITMAP, FEW = 256, 32
+#: About as many nodes and tokens in a slot of a component; two slots meet in a cell. Columns that a cell multiplies together.
+SLOT_NODES, SLOT_TOKENS, COLUMNS = 512, 500_000, 4096
 #: Pairs that a pass over the cells of a batch looks at together.
 PASS = 1 << 18
 
@@ -509,8 +514,121 @@ def crossed(open_: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
     return cells.transform(arrow(_in_cells(best), _CELL))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, n_shingles, node, and group: the node's component (null for an empty set)."""
+_SLOTTED = "comp bigint, i int, j int, side boolean, node bigint, copies bigint, tokens binary"
+
+
+def _slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set to the cells (i, j), i <= j, in which its slot meets all slots; side: whether it comes as slot j."""
+    names = [c.split()[0] for c in _SLOTTED.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+    for batch in batches:
+        comp, slot, slots, node, copies = (batch[c].to_pylist() for c in ("comp", "slot", "slots", "node", "copies"))
+        out: list[tuple] = []
+        size = 0
+
+        def flush(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+        for k, tokens in enumerate(_sets(batch)):
+            raw, s = tokens.tobytes(), slot[k]
+            for other in range(slots[k]):
+                out.append((comp[k], min(s, other), max(s, other), other < s, node[k], copies[k], raw))
+                size += len(raw)
+                if size > 8_000_000:
+                    yield flush(out)
+                    out, size = [], 0
+        if out:
+            yield flush(out)
+
+
+def shared_tokens(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set of left shares with each of right: products of 0-1 matrices, some columns at a time."""
+    sets = [*left, *right]
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times > 1  # the others are shared by none
+    rank = np.cumsum(several) - 1
+    keep = several[column]
+    row, column = row[keep], rank[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    found = np.zeros((len(left), len(right)), np.int64)
+    for base in range(0, int(several.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, (base, base + COLUMNS))
+        has = np.zeros((len(sets), min(COLUMNS, int(column[hi - 1]) - base + 1)), np.float32)
+        has[row[lo:hi], column[lo:hi] - base] = 1
+        found += (has[: len(left)] @ has[len(left) :].T).astype(np.int64)
+    return found
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in the order of cells: for each node of a cell how many documents with other sets of the cell link to it. One
+    cell is kept at a time."""
+
+    def links(sets: list[np.ndarray], side: list[bool], node: list[int], copies: list[int]) -> Iterator[tuple[int, int]]:
+        second = np.array(side, bool)
+        at, of = np.flatnonzero(~second), np.flatnonzero(second)
+        within = not len(of)
+        of = at if within else of
+        if not len(at) or (within and len(at) < 2):
+            return
+        n, times = np.array([len(x) for x in sets]), np.array(copies, np.int64)
+        inter = shared_tokens([sets[x] for x in at], [sets[x] for x in of])
+        link = THRESHOLD[1] * inter >= THRESHOLD[0] * (n[at][:, None] + n[of][None, :] - inter)
+        if within:
+            np.fill_diagonal(link, False)
+        yield from zip((node[x] for x in at), (link @ times[of]).tolist(), strict=True)
+        if not within:
+            yield from zip((node[x] for x in of), (times[at] @ link).tolist(), strict=True)
+
+    def whole(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["node", "links"])
+
+    last, held, found = None, ([], [], [], []), []
+    for batch in batches:
+        comp, i, j, side, node, copies = (batch[c].to_pylist() for c in ("comp", "i", "j", "side", "node", "copies"))
+        for k, raw in enumerate(batch["tokens"]):
+            if (cell := (comp[k], i[k], j[k])) != last:
+                found.extend(links(*held))
+                last, held = cell, ([], [], [], [])
+            for kept, x in zip(held, (np.frombuffer(raw.as_py(), np.uint64), side[k], node[k], copies[k]), strict=True):
+                kept.append(x)
+        if found:
+            yield whole(found)
+            found = []
+    found.extend(links(*held))
+    if found:
+        yield whole(found)
+
+
+def linked(comp: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, links: how many documents with other sets link to each node of comp (node, comp). nodes: node, row_key, n, copies."""
+    own = nodes.select("node", "row_key", "n", "copies").join(comp, "node")
+    cut = own.groupBy("comp").agg(F.expr(f"cast(greatest((count(*) - 1) div {SLOT_NODES}, (sum(n) - 1) div {SLOT_TOKENS}) + 1 as int)").alias("slots"))
+    wanted = table(own.join(cut, "comp").select("row_key", "node", "comp", "copies", "slots", F.pmod(F.xxhash64("node"), "slots").cast("int").alias("slot")), "slots")
+    texts = Member(wanted.select(F.col("row_key").alias("key"))).sift(docs.select("row_key", "text"), "row_key")
+    # of repeated rows one text; they have equal keys, so the first to come will do
+    one = texts.join(wanted.hint("merge"), "row_key").dropDuplicates(["row_key"])
+    cells = one.transform(arrow(_slotted, _SLOTTED)).repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    return cells.transform(arrow(_counted, "node bigint, links bigint")).groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def near_duplicates(docs: DataFrame, links: bool = False) -> DataFrame:
+    """doc_id, row_key, n_shingles, node, and group: the node's component (null for an empty set). links: also n_links, the
+    number of other documents that each one links with."""
+    own, nodes, comp = _grouped(docs)
+    n_links = []
+    if links:
+        several = table(linked(comp, nodes, keyed(docs)), "linked")
+        known = nodes.select("node", "copies").join(comp, "node", "left").join(several, "node", "left").where("copies > 1 or comp is not null")
+        comp = table(known.select("node", "comp", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
+        n_links = [F.when(F.col("n") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links")]
+    return own.join(comp, "node", "left").select("doc_id", "row_key", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("group"), *n_links)
+
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents (doc_id, row_key, node, n), the nodes (node, row_key, n, bits, copies) and the components (node, comp) of
+    nodes that have links to others."""
     bounded_batches(docs.sparkSession)
     docs = keyed(docs)
     read = table(docs.transform(arrow(_read, "kind int, doc_id bigint, row_key bigint, node bigint, n bigint, bits binary")), "sets")
@@ -521,7 +639,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     again = table(again, "parts")
     pair = lambda df: df.where(_pairs("centre", "node", "cn", "n", "clate", "late")).select(F.col("centre").alias("a"), F.col("node").alias("b"))
     pairs = table(pair(first).unionByName(pair(again)).distinct(), "pairs")
-    nodes = table(own.where("n > 0").groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bits", True).alias("bits")), "nodes")
+    nodes = table(own.where("n > 0").groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bits", True).alias("bits"), F.count("*").alias("copies")), "nodes")
     links = table(verified(table(plausible(pairs, nodes), "plausible"), nodes.select("node", "row_key"), docs), "links")
     comp = table(components(links), "comps")
     light = nodes.select("node", "row_key")
@@ -545,7 +663,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         more = table(verified(rest, light, docs), "links")
         comp = table(components(links.unionByName(more)), "comps")
     drop_table(first, again, open_)
-    return own.join(comp, "node", "left").select("doc_id", "row_key", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("group"))
+    return own, nodes, comp
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -565,7 +683,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Per document: the size of its set and the smallest id of its component."""
-    found = table(near_duplicates(docs), "groups")
+    """Per document: the size of its set, the smallest id of its component and the number of its links."""
+    found = table(near_duplicates(docs, links=True), "groups")
     least = table(found.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least")), "least")
-    return found.join(least, "group", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return found.join(least, "group", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "n_links")

@@ -69,9 +69,11 @@ link AS (SELECT x, y FROM shared JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHE
 both_ AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
 reach(a, b) AS (SELECT r, r FROM rep UNION SELECT reach.a, both_.y FROM reach JOIN both_ ON both_.x = reach.b),
 node AS (SELECT sets.r, rep.r AS rep FROM sets JOIN rep USING (h)),
-least AS (SELECT reach.a AS rep, min(w.doc_id) AS least FROM reach JOIN node ON node.rep = reach.b JOIN w ON w.r = node.r GROUP BY reach.a)
-SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least.least, w.doc_id) AS component_id
-FROM w LEFT JOIN n USING (r) LEFT JOIN node USING (r) LEFT JOIN least ON least.rep = node.rep
+least AS (SELECT reach.a AS rep, min(w.doc_id) AS least FROM reach JOIN node ON node.rep = reach.b JOIN w ON w.r = node.r GROUP BY reach.a),
+copies AS (SELECT rep, count(*) AS c FROM node GROUP BY rep),
+others AS (SELECT x AS rep, sum(c) AS c FROM both_ JOIN copies ON copies.rep = y GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least.least, w.doc_id) AS component_id, (coalesce(copies.c, 1) - 1 + coalesce(others.c, 0))::BIGINT AS n_links
+FROM w LEFT JOIN n USING (r) LEFT JOIN node USING (r) LEFT JOIN least ON least.rep = node.rep LEFT JOIN copies ON copies.rep = node.rep LEFT JOIN others ON others.rep = node.rep
 """
 
 

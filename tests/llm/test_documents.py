@@ -82,7 +82,7 @@ def test_near_duplicates(docs, none):
         return frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1))))
 
     rows = corpus()
-    sets, up = [shingles(r[1]) for r in rows], list(range(len(rows)))
+    sets, up, links = [shingles(r[1]) for r in rows], list(range(len(rows))), [0] * len(rows)
 
     def root(i):
         while up[i] != i:
@@ -93,11 +93,13 @@ def test_near_duplicates(docs, none):
         for j in range(i):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 up[root(i)] = root(j)
+                links[i] += 1
+                links[j] += 1
     least = {}
     for i, r in enumerate(rows):
         if r[0] is not None:
             least[root(i)] = min(r[0], least.get(root(i), r[0]))
-    want = key((r[0], len(sets[i]), least.get(root(i)) if sets[i] else r[0]) for i, r in enumerate(rows))
+    want = key((r[0], len(sets[i]), least.get(root(i)) if sets[i] else r[0], links[i]) for i, r in enumerate(rows))
     assert key(ngram_join.digest(docs).collect()) == want
     one = ngram_join.one_of_each(docs)
     assert one.columns == docs.columns
@@ -106,7 +108,7 @@ def test_near_duplicates(docs, none):
     assert ngram_join.digest(none).count() == 0
 
 
-def test_near_duplicates_of_a_large_group(spark):
+def test_near_duplicates_of_a_large_group(spark, monkeypatch):
     """A group of hundreds of variants around one text, all tokens frequent."""
     r = random.Random(9)
     base = ["w%d" % r.randrange(10**6) for _ in range(150)]
@@ -117,7 +119,7 @@ def test_near_duplicates_of_a_large_group(spark):
             w[r.randrange(150)] = "v%d" % r.randrange(10**6)
         rows.append((i, " ".join(w)))
     sets = [frozenset(tuple(t.split()[k : k + 5]) for k in range(146)) for _, t in rows]
-    up = list(range(len(rows)))
+    up, links = list(range(len(rows))), [0] * len(rows)
 
     def root(i):
         while up[i] != i:
@@ -129,8 +131,19 @@ def test_near_duplicates_of_a_large_group(spark):
             if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)
-    got = {r.doc_id: r.component_id for r in ngram_join.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
-    assert got == {i: root(i) for i in range(len(rows))}
+                links[i] += 1
+                links[j] += 1
+    monkeypatch.setattr(ngram_join, "SLOT_NODES", 60)  # so the group is cut into cells
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == {i: (root(i), links[i]) for i in range(len(rows))}
+
+
+def test_shared_tokens(monkeypatch):
+    r = np.random.RandomState(2)
+    sets = [np.unique(r.randint(0, 300, n).astype(np.uint64)) for n in (1, 3, 50, 200, 0, 120)]
+    monkeypatch.setattr(ngram_join, "COLUMNS", 7)
+    got = ngram_join.shared_tokens(sets[:2], sets[2:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets[:2]]
 
 
 def test_near_duplicates_whose_centre_is_too_small(spark):
@@ -155,7 +168,7 @@ def test_near_duplicates_whose_centre_is_too_small(spark):
             break
     assert (len(ta), len(tb), len(tc), len(np.intersect1d(tb, tc))) == (8, 10, 10, 9)
     rows = spark.createDataFrame([(1, a), (2, b), (3, c)], "doc_id long, text string")
-    assert sorted(tuple(x) for x in ngram_join.digest(rows).collect()) == [(1, 8, 1), (2, 10, 2), (3, 10, 2)]
+    assert sorted(tuple(x) for x in ngram_join.digest(rows).collect()) == [(1, 8, 1, 0), (2, 10, 2, 1), (3, 10, 2, 1)]
 
 
 def test_repeated_passages(docs, none):
