@@ -1,12 +1,15 @@
-"""Workbench icons: metadata, tool types, stack and default tool, read and changed."""
+"""Workbench icons: metadata, tool types, stack and default tool, read and changed."""
 
 from __future__ import annotations
 
+import re
 import struct
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 
+from . import pictures
+
 MAGIC, HEAD, DRAWER, IMAGE = 0xE310, 78, 56, 20
 NO_POSITION = -0x80000000
 KINDS = {1: "disk", 2: "drawer", 3: "tool", 4: "project", 5: "garbage", 6: "device", 7: "kick", 8: "appicon"}
@@ -103,3 +106,76 @@ def picture(icon: Icon, which: int = 0) -> np.ndarray:
     pen = sum(np.unpackbits(planes[p], axis=1)[:, :w].astype(np.int64) << p for p in range(depth)) if depth else np.zeros((h, w), np.int64)
     rgb = np.array(PENS, np.uint8)[pen % len(PENS)]
     return np.dstack([rgb, np.where(pen > 0, 255, 0).astype(np.uint8)])
+
+
+#: Flags of a colour image, and the largest one that is read.
+CLEAR, PALETTE, MOST_SIDE = 1, 2, 1024
+
+
+def _items(raw: bytes, width: int, count: int, packed: bool) -> np.ndarray:
+    """Up to count numbers of width bits each from a stream of bits; packed: as runs behind bytes that count as in ByteRun1."""
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8))
+    worth = 1 << np.arange(width - 1, -1, -1)
+
+    def some(at: int, n: int) -> np.ndarray:
+        n = max(0, min(n, (len(bits) - at) // width))
+        return bits[at : at + n * width].reshape(n, width) @ worth
+
+    if not packed:
+        return some(0, count)
+    parts, have, at = [np.zeros(0, np.int64)], 0, 0
+    while have < count and at + 8 <= len(bits):
+        n = int(np.packbits(bits[at : at + 8])[0])
+        at += 8
+        if n == 128:
+            continue
+        run = some(at, n + 1 if n < 128 else 1)
+        at += width * (n + 1 if n < 128 else 1)
+        parts.append(run if n < 128 else np.repeat(run, 257 - n))
+        have += len(parts[-1])
+    return np.concatenate(parts)[:count]
+
+
+def colour_picture(raw: bytes) -> np.ndarray | None:
+    """The first image of the colour icon behind a plain one, as height x width x 4; None where there is none to read."""
+    form = re.search(rb"FORM.{4}ICON", raw[HEAD:], re.DOTALL)
+    if form is None:
+        return None
+    parts = dict(reversed(pictures.chunks(raw[HEAD + form.start() :])[1]))  # of each name the first
+    face, image = parts.get("FACE", b""), parts.get("IMAG", b"")
+    if len(face) < 6 or len(image) < 10:
+        return None
+    w, h = face[0] + 1, face[1] + 1
+    clear, colours, flags, packed, packed_palette, depth, size, palette_size = struct.unpack_from(">6BHH", image)
+    if not 1 <= depth <= 8 or not flags & PALETTE or max(w, h) > MOST_SIDE or 10 + size + 1 > len(image):
+        return None
+    pen = _items(image[10 : 11 + size], depth, w * h, packed != 0)
+    rgb = _items(image[11 + size : 12 + size + palette_size], 8, 3 * (colours + 1), packed_palette != 0)
+    rgb = rgb[: len(rgb) // 3 * 3].reshape(-1, 3)
+    if len(pen) < w * h or not len(rgb):
+        return None
+    known = np.zeros((256, 3), np.uint8)  # pens without a colour are black
+    known[: len(rgb)] = rgb
+    alpha = np.where((pen == clear) & bool(flags & CLEAR), 0, 255).astype(np.uint8)
+    return np.dstack([known[pen].reshape(h, w, 3), alpha.reshape(h, w)])
+
+
+def colour_form(pens: np.ndarray, colours: np.ndarray, clear: int | None, packed: bool) -> bytes:
+    """The form of a colour icon with one image: pens (height x width, below 256) and their colours (n x 3). packed: pens and
+    colours are written as runs of up to 128 equal items; else plainly."""
+
+    def stream(items: np.ndarray, width: int) -> bytes:
+        bits = lambda x, n: (x[:, None] >> np.arange(n - 1, -1, -1) & 1).astype(np.uint8)
+        if not packed:
+            return np.packbits(bits(items, width).ravel()).tobytes()
+        head = np.flatnonzero(np.append(True, items[1:] != items[:-1]))
+        long = np.diff(np.append(head, len(items)))
+        n = np.concatenate([np.append(np.full((x - 1) // 128, 128), (x - 1) % 128 + 1) for x in long])
+        item = np.repeat(items[head], (long - 1) // 128 + 1)
+        return np.packbits(np.hstack([bits(np.where(n > 1, 257 - n, 0), 8), bits(item, width)]).ravel()).tobytes()
+
+    h, w = pens.shape
+    depth = max(1, int(len(colours) - 1).bit_length())
+    body, palette = stream(pens.ravel().astype(np.int64), depth), stream(colours.ravel().astype(np.int64), 8)
+    head = struct.pack(">6BHH", clear or 0, len(colours) - 1, PALETTE | (CLEAR if clear is not None else 0), packed, packed, depth, len(body) - 1, len(palette) - 1)
+    return pictures.form("ICON", [("FACE", struct.pack(">4BH", w - 1, h - 1, 0, 0, 3 * len(colours) - 1)), ("IMAG", head + body + palette)])

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platter.codecs import lzh, mfm, zips
+from platter.codecs import icons, lzh, mfm, pictures, prefs, zips
 from platter.operators import images
 from platter.sources import containers
 
@@ -185,3 +187,41 @@ def rdb_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = read(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("image"), F.col("n_nationkey").cast("long").alias("ord"), (F.col("n_nationkey") * 3 + 10).cast("long").alias("size"))
     return containers.partition_table(rows.groupBy("image").applyInPandas(run, images.IMAGE)).select("image", "name", "start_byte", "size")
+
+
+@query("""
+SELECT k AS p_partkey, (1 + k % 9)::BIGINT AS width, (1 + k % 5)::BIGINT AS height, (count(*) FILTER (pen = 0 AND k % 2 = 0))::BIGINT AS n_clear, sum(pen)::BIGINT AS red, sum(pen * 7 % 256)::BIGINT AS blue
+FROM (SELECT k, (i * k // 3) % (2 + k % 200) AS pen FROM (SELECT p_partkey::BIGINT AS k, unnest(range((1 + p_partkey % 9) * (1 + p_partkey % 5))) AS i FROM part)) GROUP BY k""")
+def colour_icons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour images behind plain icons, written plainly or as runs, and read back."""
+
+    def of(r):
+        k = int(r.p_partkey)
+        w, h, n = 1 + k % 9, 1 + k % 5, 2 + k % 200
+        pens = (np.arange(w * h).reshape(h, w) * k // 3) % n
+        pen = np.arange(n)
+        form = icons.colour_form(pens, np.stack([pen, 255 - pen, pen * 7 % 256], 1), 0 if k % 2 == 0 else None, k % 3 > 0)
+        got = icons.colour_picture(icons.write(icons.Icon(3, default_tool="FORM")) + form).astype(np.int64)
+        return k, got.shape[1], got.shape[0], int((got[..., 3] == 0).sum()), int(got[..., 0].sum()), int(got[..., 2].sum())
+
+    return _each(read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey")), _result(p_partkey=_L, width=_L, height=_L, n_clear=_L, red=_L, blue=_L), of)
+
+
+@query("""
+SELECT s_suppkey::BIGINT AS s_suppkey, 'old.library' AS old_name, 'lib' || s_suppkey || '.library' AS new_name, (32 + 44 + 24 + 4 * ((length('lib' || s_suppkey || '.library') + 4) // 4))::BIGINT AS size,
+  'SYS:' || s_name AS backdrop, 'usa' AS old_keymap FROM supplier""")
+def changed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names inside libraries and preferences, changed and read back."""
+    code = struct.pack(">I2s12xI2x2I12s", 0x70FF4E75, prefs.RESIDENT, 32, 32, 5, b"old.library")
+    longs = len(code) // 4
+    library = struct.pack(">8I", prefs.HEADER, 0, 1, 0, 0, longs, prefs.CODE, longs) + code + struct.pack(">6I", prefs.RELOCATIONS, 1, 0, 18, 0, 0x3F2)
+    settings = pictures.form("PREF", [("PTRN", bytes(23) + b"\x03RAM"), ("INPT", b"\0\x03usa\0")])
+
+    def of(r):
+        new = prefs.Library(library).renamed(f"lib{r.s_suppkey}.library")
+        changed, keymap = prefs.keymap(prefs.backdrop(settings, f"SYS:{r.s_name}"), "gb")
+        backdrop = dict(pictures.chunks(changed)[1])["PTRN"][prefs.PATTERN_HEAD + 1 :].decode("latin-1")
+        return int(r.s_suppkey), prefs.Library(library).name, prefs.Library(new).name, len(new), backdrop, keymap
+
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name")
+    return _each(rows, _result(s_suppkey=_L, old_name=_S, new_name=_S, size=_L, backdrop=_S, old_keymap=_S), of)

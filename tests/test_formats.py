@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from platter.codecs import icons, lzh, lzhuf, mfm, pictures, zips
+from platter.codecs import icons, lzh, lzhuf, mfm, pictures, prefs, zips
 from platter.functions import checksums, dates, geometry, names, texts, tooling
 from platter.operators import chains, images, ranks
 from platter.parse import fat, ffs, iso, partitions, pfs
@@ -268,6 +268,74 @@ def test_icons():
         icons.read(b"x" * 100)
 
 
+def colour_icon(image: bytes, w: int, h: int) -> bytes:
+    """An icon with a plain image of one plane, and behind it the given colour image."""
+    plain = struct.pack(">hhhhhIBBI", 0, 0, 8, 8, 1, 1, 0, 0, 0) + b"\xff" * 16
+    face = bytes([w - 1, h - 1, 0, 0, 0, 11])
+    body = b"ICONFACE" + struct.pack(">I", 6) + face + b"IMAG" + struct.pack(">I", len(image)) + image + b"\0" * (len(image) % 2)
+    return icons.write(icons.Icon(3, images=[(8, 8, 1, plain)])) + b"FORM" + struct.pack(">I", len(body)) + body
+
+
+def test_colour_icons():
+    colours = bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9, 9])
+    want = [[255, 0, 0, 255], [0, 255, 0, 255], [0, 0, 255, 255], [9, 9, 9, 0]]
+    # plain, eight bits a pixel, pen 3 is clear
+    raw = colour_icon(bytes([3, 3, 3, 0, 0, 8, 0, 3, 0, 11, 0, 1, 2, 3]) + colours, 2, 2)
+    assert icons.colour_picture(raw).reshape(-1, 4).tolist() == want
+    # packed, two bits a pixel: three literals (1, 2, 3), nothing, five times 0; the bits run on across bytes
+    stream = "00000010" "01" "10" "11" "10000000" "11111100" "00"
+    pens = int(stream.ljust(40, "0"), 2).to_bytes(5, "big")
+    raw = colour_icon(bytes([0, 3, 3, 1, 0, 2, 0, 4, 0, 11]) + pens + colours, 4, 2)
+    got = icons.colour_picture(raw)
+    assert got.shape == (2, 4, 4) and got[0, 0].tolist() == want[1] and got[0, 2].tolist() == [9, 9, 9, 255]
+    assert got.reshape(-1, 4)[3:].tolist() == [[255, 0, 0, 0]] * 5
+    for bad in (raw[:110], colour_icon(bytes([0, 3, 3, 0, 0, 8, 0, 99, 0, 11]) + pens, 4, 2), colour_icon(bytes([0, 3, 1, 0, 0, 8, 0, 7, 0, 11]) + bytes(20), 4, 2)):
+        assert icons.colour_picture(bad) is None
+    r = np.random.RandomState(1)
+    for packed in (False, True):
+        for n, shape in ((2, (1, 1)), (5, (7, 9)), (256, (200, 3)), (1, (30, 30))):
+            pens, rgb = r.randint(0, n, shape), r.randint(0, 256, (n, 3))
+            pens[:, : shape[1] // 2] = 0
+            got = icons.colour_picture(b"\0" * 78 + icons.colour_form(pens, rgb, 0, packed))
+            assert (got[..., :3] == rgb[pens]).all() and ((got[..., 3] == 0) == (pens == 0)).all()
+
+
+def test_changed_preferences():
+    raw = pictures.form("PREF", [("PRHD", b"abcdef"), ("PTRN", bytes(range(23)) + b"\x03SYS"), ("PTRN", bytes(24))])
+    new = prefs.backdrop(raw, "Work:A")
+    assert pictures.chunks(new)[1] == [("PRHD", b"abcdef"), ("PTRN", bytes(range(23)) + b"\x06Work:A"), ("PTRN", bytes(24))]
+    assert struct.unpack_from(">I", new, 4)[0] == len(new) - 8
+    raw = pictures.form("PREF", [("INPT", b"\0\x03usa\0rest")])
+    new, old = prefs.keymap(raw, "gb1x")
+    assert old == "usa" and pictures.chunks(new)[1] == [("INPT", b"\0\x04gb1xrest")]
+    for f, x in ((prefs.backdrop, raw), (prefs.keymap, pictures.form("PREF", [])), (prefs.keymap, b"FORM")):
+        with pytest.raises((ValueError, struct.error)):
+            f(x, "a")
+
+
+def test_renamed_library():
+    longs = lambda *x: struct.pack(f">{len(x)}I", *x)
+    # a jump, the resident structure at 4 with its name pointer at 18, a second pointer at 24, another value at 28, the name at 32
+    code = longs(0x70FF4E75) + b"\x4a\xfc" + bytes(12) + longs(32) + bytes(2) + longs(32, 5) + b"old.library\0"
+    rest = longs(0x3EC, 2, 0, 18, 28, 1, 1, 24, 1, 0, 24, 0, 0x3F2)
+    raw = longs(0x3F3, 0, 1, 0, 0, len(code) // 4, 0x3E9, len(code) // 4) + code + rest
+    library = prefs.Library(raw)
+    assert library.name == "old.library" and library.places.tolist() == [18, 28, 24]
+    new = library.renamed("other.library")
+    want = bytearray(code)
+    for at in (18, 24):
+        struct.pack_into(">I", want, at, len(code))
+    size = len(code) // 4 + 4
+    assert new == longs(0x3F3, 0, 1, 0, 0, len(code) // 4, 0x3E9, size) + bytes(want) + b"other.library\0\0\0" + rest
+    assert prefs.Library(new).name == "other.library"
+    assert struct.unpack_from(">I", library.renamed("other.library", header=True), 20)[0] == size
+    # without relocations the pointer alone is changed
+    assert prefs.Library(prefs.Library(raw[: -len(rest)] + longs(0x3F2)).renamed("x")).name == "x"
+    for bad in (b"", raw[:40], longs(1, 2, 3), raw.replace(b"\x4a\xfc", b"\0\0")):
+        with pytest.raises(ValueError):
+            prefs.Library(bad).renamed("x")
+
+
 def test_tools(spark):
     rows = [("DH0:dos3", 0x444F5303, 0, 1), ("DH0:PDS3:100:1:-5:4", 0x50445303, 100, 4), ("DH0:0x444F5307:5", 0x444F5307, 5, 1), ("DH0:dos3:1:0:0:3", None, None, None), (":dos3", None, None, None), ("DH0", None, None, None), ("DH0:what", None, None, None)]
     got = spark.createDataFrame(rows, "t string, a long, b long, c long").select("*", tooling.partition_spec(F.col("t")).alias("s")).collect()
