@@ -460,3 +460,13 @@ def test_rings_and_lists(spark):
     links = [(i, i + 1) for i in range(1, 7)] + [(7, None)] + [(100 + i, 100 + (i + 1) % 3) for i in range(3)]
     got = {r.node: (r.root, r.hop) for r in hops(spark.createDataFrame(links, "node long, next long")).collect()}
     assert got == {i: (1, i - 1) for i in range(1, 8)}
+
+
+def test_fat_table_that_is_an_entry_short():
+    for sectors in range(32 + 40_000, 32 + 40_130):
+        p = fat.blank(sectors, "x", 1).layout
+        assert 4 * (p.clusters + 2) <= p.fat_sectors * p.sector
+    sectors = next(n for n in range(32 + 5000, 32 + 5130) if 4 * (n - 32) % 520 == 516)
+    v = fat.blank(sectors, "x", 1)
+    v.entries = [fat.Entry(p, False, c) for p, c in FILES]
+    assert {e.path: e.content for e in fat.read(fat.write(v)).entries if not e.is_dir} == dict(FILES)
