@@ -470,3 +470,20 @@ def test_fat_table_that_is_an_entry_short():
     v = fat.blank(sectors, "x", 1)
     v.entries = [fat.Entry(p, False, c) for p, c in FILES]
     assert {e.path: e.content for e in fat.read(fat.write(v)).entries if not e.is_dir} == dict(FILES)
+
+
+def test_volume_numbers_of_large_keys(spark, tmp_path):
+    import datetime
+
+    import duckdb
+
+    from platter.plans import catalog
+
+    rows = [(k, datetime.datetime(1995, 3, 17)) for k in (1, 270_000, 271_000, 600_000, 36_000_000, 10**9)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = c.execute(catalog.ORACLE_SQL["volume_numbers"]).fetchall()
+    got = [tuple(r) for r in catalog.QUERIES["volume_numbers"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    assert spark.range(1).select(geometry.reserved_blocks(F.lit(10**10)).alias("x")).first().x == geometry.RESERVED_MOST
