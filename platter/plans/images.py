@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from platter.codecs import icons, lzh, mfm, pictures, prefs, zips
 from platter.operators import images
+from platter.operators.dealing import dealt
 from platter.sources import containers
 
 from .registry import query, read
@@ -26,7 +27,9 @@ _L, _B, _S = T.LongType(), T.BooleanType(), T.StringType()
 
 
 def _each(df: DataFrame, schema: T.StructType, of) -> DataFrame:
-    """of(row) -> a tuple for each row, over pandas batches."""
+    """of(row) -> a tuple for each row, over pandas batches; rows of documents that are worked on together where there is of.many."""
+    if hasattr(of, "many"):
+        return _some(df, schema, of.many)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -35,9 +38,35 @@ def _each(df: DataFrame, schema: T.StructType, of) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
+#: Documents and icons of a task; bytes of contents that are worked on together.
+DOCS_EACH, ICONS_EACH, TOGETHER = 2000, 5000, 1 << 20
+#: Tracks whose loops run side by side.
+LOOPS = 512
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents; a null text is an empty one."""
-    return read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+    rows = dealt(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", DOCS_EACH)
+    return rows.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+
+
+def _some(df: DataFrame, schema: T.StructType, of) -> DataFrame:
+    """of(doc_ids, contents) -> a tuple for each, over runs of documents of about TOGETHER bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids, raws, held = [], [], 0
+            for i, raw in zip(b["doc_id"].tolist(), b["raw"], strict=True):
+                ids.append(i)
+                raws.append(bytes(raw))
+                held += len(raws[-1])
+                if held >= TOGETHER:
+                    yield pd.DataFrame(of(ids, raws), columns=schema.names)
+                    ids, raws, held = [], [], 0
+            if ids:
+                yield pd.DataFrame(of(ids, raws), columns=schema.names)
+
+    return df.mapInPandas(run, schema)
 
 
 @query("SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS size, true AS same FROM documents")
@@ -204,7 +233,8 @@ def colour_icons(spark: SparkSession, sf_dir: str) -> DataFrame:
         got = icons.colour_picture(icons.write(icons.Icon(3, default_tool="FORM")) + form).astype(np.int64)
         return k, got.shape[1], got.shape[0], int((got[..., 3] == 0).sum()), int(got[..., 0].sum()), int(got[..., 2].sum())
 
-    return _each(read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey")), _result(p_partkey=_L, width=_L, height=_L, n_clear=_L, red=_L, blue=_L), of)
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"))
+    return _each(dealt(rows, "p_partkey", ICONS_EACH), _result(p_partkey=_L, width=_L, height=_L, n_clear=_L, red=_L, blue=_L), of)
 
 
 @query("""

@@ -487,3 +487,10 @@ def test_volume_numbers_of_large_keys(spark, tmp_path):
     got = [tuple(r) for r in catalog.QUERIES["volume_numbers"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want)
     assert spark.range(1).select(geometry.reserved_blocks(F.lit(10**10)).alias("x")).first().x == geometry.RESERVED_MOST
+
+
+def test_costly_rows_of_one_file_are_dealt_out(spark, tmp_path):
+    from platter.plans import catalog
+
+    spark.range(12_000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert catalog.QUERIES["colour_icons"](spark, str(tmp_path)).rdd.getNumPartitions() == 3
