@@ -117,17 +117,24 @@ def pll_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks as flux series at a speed 3 % off, kept in an SCP image, and decoded by the loop."""
     hz = 1 / mfm.SCP_UNIT
 
+    def counted(ids, raws, loops):
+        tracks = [(n, t % 160, s) for n, raw in enumerate(raws) for t, s in enumerate(_sectors(raw))]
+        found, lost = [0] * len(ids), [0] * len(ids)
+        for at in range(0, len(tracks), LOOPS):
+            some, kept = tracks[at : at + LOOPS], []
+            for _, t, s in some:
+                ticks = mfm.intervals(mfm.encode_track(t, s), 2e-6 * 1.03, hz)
+                kept.append(mfm.scp_decode(mfm.scp_encode({t: [ticks]}, 1))[t][0])
+            for (n, t, s), cells in zip(some, loops(kept), strict=True):
+                got = mfm.recovered(mfm.decode_track(cells))
+                good = sum(got.get((t, k)) == d for k, d in enumerate(s))
+                found[n], lost[n] = found[n] + good, lost[n] + len(s) - good
+        return list(zip(ids, found, lost, strict=True))
+
     def of(r):
-        tracks = _sectors(bytes(r.raw))
-        found = lost = 0
-        for t, s in enumerate(tracks):
-            ticks = mfm.intervals(mfm.encode_track(t % 160, s), 2e-6 * 1.03, hz)
-            kept = mfm.scp_decode(mfm.scp_encode({t % 160: [ticks]}, 1))[t % 160][0]
-            got = mfm.recovered(mfm.decode_track(mfm.cells_of(kept, 2e-6, hz)))
-            n = sum(got.get((t % 160, k)) == d for k, d in enumerate(s))
-            found, lost = found + n, lost + len(s) - n
-        return r.doc_id, found, lost
+        return counted([r.doc_id], [bytes(r.raw)], lambda kept: [mfm.cells_of(x, 2e-6, hz) for x in kept])[0]
 
+    of.many = lambda ids, raws: counted(ids, raws, lambda kept: mfm.cells_of_many(kept, 2e-6, hz))
     return _each(_docs(spark, sf_dir), _result(doc_id=_L, found=_L, lost=_L), of)
 
 

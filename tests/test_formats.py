@@ -494,3 +494,20 @@ def test_costly_rows_of_one_file_are_dealt_out(spark, tmp_path):
 
     spark.range(12_000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert catalog.QUERIES["colour_icons"](spark, str(tmp_path)).rdd.getNumPartitions() == 3
+
+
+def test_loops_side_by_side():
+    rng = np.random.default_rng(3)
+
+    def alone(ticks: np.ndarray) -> list[int]:
+        now, out = 2e-6, []
+        for t in (ticks / 40e6).tolist():
+            n = max(1, int(t / now + 0.5))
+            out += [0] * (n - 1) + [1]
+            now = min(max(now + mfm.GAIN * (t / n - now), 2e-6 * mfm.SLOWEST), 2e-6 * mfm.FASTEST)
+        return out
+
+    series = [rng.integers(1, 500, n) for n in (3000, 0, 1, 1024, 1025, 7)] + [np.array([0, 10**6, 3])]
+    assert [x.tolist() for x in mfm.cells_of_many(series, 2e-6, 40e6)] == [alone(x) for x in series]
+    words = struct.pack(">HHHHHH", 1, 0, 1, 0, 5, 0) + struct.pack(">HH", 0, 1)
+    assert mfm.scp_words(np.array([1, 65536, 65541, 131072])) == words
