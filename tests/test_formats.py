@@ -511,3 +511,16 @@ def test_loops_side_by_side():
     assert [x.tolist() for x in mfm.cells_of_many(series, 2e-6, 40e6)] == [alone(x) for x in series]
     words = struct.pack(">HHHHHH", 1, 0, 1, 0, 5, 0) + struct.pack(">HH", 0, 1)
     assert mfm.scp_words(np.array([1, 65536, 65541, 131072])) == words
+
+
+def test_trees_with_names_that_listings_hide(spark, tmp_path):
+    import duckdb
+
+    from platter.plans import catalog
+
+    rows = [(1, "a", "en", "_src"), (2, "", "de", ".src"), (3, None, "de", "50%41 + 1"), (801, "x" * 5000, "fr", "src2"), (802, "b", None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = [tuple(r) for r in catalog.QUERIES["extract_tree"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(c.execute(catalog.ORACLE_SQL["extract_tree"]).fetchall())
