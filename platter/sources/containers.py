@@ -106,7 +106,8 @@ def rows(raw: bytes) -> Iterator[Row | tuple[str, str]]:
 
 def _each(batches: Iterator[pa.RecordBatch], names: list[str], types: list[pa.DataType], of: Callable[[str, bytes], Iterator[tuple]]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, raw in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
+        for k, path in enumerate(batch["path"].to_pylist()):
+            raw = batch["content"][k].as_py()  # one image at a time
             out: list[tuple] = []
             try:
                 for r in of(path, raw or b""):

@@ -524,3 +524,23 @@ def test_trees_with_names_that_listings_hide(spark, tmp_path):
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = [tuple(r) for r in catalog.QUERIES["extract_tree"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(c.execute(catalog.ORACLE_SQL["extract_tree"]).fetchall())
+
+
+def test_images_of_a_batch_are_read_one_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    raw = images.fat_image("F", [("a", b"x" * 2_000_000)])
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{k}.img" for k in range(30)]), pa.array([raw] * 30)], ["path", "content"])
+    seen = []
+
+    def of(path, content):
+        seen.append(len(content))
+        yield (path, len(content))
+
+    tracemalloc.start()
+    assert sum(len(b) for b in containers._each(iter([batch]), ["path", "n"], [pa.string(), pa.int64()], of)) == 30
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == [len(raw)] * 30 and most < 4 * len(raw)
