@@ -544,3 +544,14 @@ def test_images_of_a_batch_are_read_one_at_a_time():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert seen == [len(raw)] * 30 and most < 4 * len(raw)
+
+
+def test_long_z_files():
+    import time
+
+    content = random.Random(8).randbytes(600_000)
+    began = time.process_time()
+    raw = zips.compress(content)
+    assert time.process_time() - began < 6  # bits held as one number took time with the square of the length
+    assert zips.uncompress(raw) == content
+    assert checksums.crc16_of(zips.compress(b"the same words " * 3000)) == 60268
