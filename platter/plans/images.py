@@ -72,7 +72,7 @@ def _some(df: DataFrame, schema: T.StructType, of) -> DataFrame:
 @query("SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS size, true AS same FROM documents")
 def lzh_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed and expanded again."""
-    return _each(_docs(spark, sf_dir), _result(doc_id=_L, size=_L, same=_B), lambda r: (r.doc_id, len(r.raw), lzh.expand(lzh.pack(bytes(r.raw)), len(r.raw)) == bytes(r.raw)))
+    return _some(_docs(spark, sf_dir), _result(doc_id=_L, size=_L, same=_B), lambda ids, raws: [(i, len(x), lzh.expand(p, len(x)) == x) for i, x, p in zip(ids, raws, lzh.pack_many(raws), strict=True)])
 
 
 @query("SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS size, true AS same FROM documents")

@@ -555,3 +555,12 @@ def test_long_z_files():
     assert time.process_time() - began < 6  # bits held as one number took time with the square of the length
     assert zips.uncompress(raw) == content
     assert checksums.crc16_of(zips.compress(b"the same words " * 3000)) == 60268
+
+
+def test_packed_together_as_alone():
+    r = random.Random(6)
+    contents = [b"", b"a", b"abc", b"a" * 70_000, b"the same words " * 400, r.randbytes(9000), bytes(r.choices(b"ab", k=90_000))]
+    packed = lzh.pack_many(contents)
+    assert packed == [lzh.pack(x) for x in contents]
+    assert [lzh.expand(p, len(x)) for p, x in zip(packed, contents)] == contents
+    assert [checksums.crc16_of(p) for p in packed] == [0, 4332, 47497, 41531, 4963, 6175, 6959]  # of the packer that took a byte at a time
