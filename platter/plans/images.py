@@ -85,11 +85,12 @@ def lzw_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_or_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The method and size that an archive gives a content."""
 
-    def of(r):
-        m = lzh.members(lzh.archive([(f"doc{r.doc_id}", bytes(r.raw))]))[0]
-        return r.doc_id, m.method, m.packed, m.size, m.crc
+    def of(ids, raws):
+        for i, x, p in zip(ids, raws, lzh.pack_many(raws), strict=True):
+            m = lzh.members(lzh.member(f"doc{i}", x, packed=p) + b"\0")[0]
+            yield i, m.method, m.packed, m.size, m.crc
 
-    return _each(_docs(spark, sf_dir), _result(doc_id=_L, method=_S, packed=_L, size=_L, crc=_L), of)
+    return _some(_docs(spark, sf_dir), _result(doc_id=_L, method=_S, packed=_L, size=_L, crc=_L), lambda ids, raws: list(of(ids, raws)))
 
 
 def _sectors(raw: bytes) -> list[list[bytes]]:
