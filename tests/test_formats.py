@@ -564,3 +564,11 @@ def test_packed_together_as_alone():
     assert packed == [lzh.pack(x) for x in contents]
     assert [lzh.expand(p, len(x)) for p, x in zip(packed, contents)] == contents
     assert [checksums.crc16_of(p) for p in packed] == [0, 4332, 47497, 41531, 4963, 6175, 6959]  # of the packer that took a byte at a time
+
+
+def test_cells_are_packed_a_content_at_a_time(spark, tmp_path):
+    from platter.plans import catalog
+
+    spark.range(5000).selectExpr("id AS doc_id", "'text' AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("packed_cells", "lzh_roundtrip", "lzw_roundtrip", "store_or_pack", "mfm_roundtrip", "pll_decode"):
+        assert catalog.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 3
