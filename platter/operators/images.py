@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 from platter.codecs import lzh
 from platter.parse import fat, ffs, pfs
 
+from .dealing import dealt
+
+#: Files of a task, where volumes are not larger: what is written there meets the reader in one batch.
+FILES_EACH = 2000
 IMAGE = T.StructType([T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType())])
 
 
@@ -23,7 +27,7 @@ def _written(files: DataFrame, suffix: str, of: Callable[[str, list[tuple[str, b
         rows = [(p, bytes(c or b"")) for p, c in zip(group["path"], group["content"], strict=True)]
         return pd.DataFrame({"path": [f"{name}{suffix}"], "content": [of(name, rows)]})
 
-    return files.select("volume", "path", "content").groupBy("volume").applyInPandas(run, IMAGE)
+    return dealt(files.select("volume", "path", "content"), "volume", FILES_EACH).groupBy("volume").applyInPandas(run, IMAGE)
 
 
 def amiga_image(name: str, rows: list[tuple[str, bytes]], dos_type: int = 0x444F5303) -> bytes:

@@ -587,3 +587,8 @@ def test_overflow_words_without_sums_of_islands(spark, tmp_path):
     got = catalog.QUERIES["overflow_words"](spark, str(tmp_path))
     assert sorted(tuple(x) for x in got.collect()) == sorted(c.execute(catalog.ORACLE_SQL["overflow_words"]).fetchall())
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_volumes_are_dealt_out(spark):
+    files = spark.range(6000).selectExpr("concat('V', id div 400) AS volume", "concat('f', id) AS path", "cast('x' AS binary) AS content")
+    assert images.amiga_images(files.coalesce(1)).rdd.getNumPartitions() == 3
